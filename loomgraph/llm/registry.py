@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import line_dedup
+from loomgraph.llm import line_dedup, mixing
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
