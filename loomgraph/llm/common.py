@@ -43,3 +43,54 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def crc_bucket(column: str, modulus: int) -> str:
     """SQL: crc32 of the id as text, modulo."""
     return f"crc32(cast(cast({column} as string) as binary)) % {modulus}"
+
+
+def pieces(batch, text_col: str, most_bytes: int = 4 << 20):
+    """An Arrow batch in slices of about most_bytes of text (one row at least), so that what a Python
+    worker holds at once depends on neither the batch nor the number of long texts in it."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if n == 0:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < n:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def mix64(x):
+    """Splitmix64 over a numpy uint64 array."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def words_of(texts: list[str | None]):
+    """(flat list of words, number of words of each text)."""
+    import numpy as np
+
+    found = [WORD.findall(t) if t else [] for t in texts]
+    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return [w for ws in found for w in ws], counts
+
+
+def word_codes(words: list[str]):
+    """(codes of the words within this list, the distinct words in order of appearance). No hash is
+    trusted: equal codes are equal words."""
+    import numpy as np
+    import pandas as pd
+
+    if not words:
+        return np.zeros(0, dtype=np.int64), []
+    codes, distinct = pd.factorize(np.array(words, dtype=object))
+    return codes, list(distinct)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import line_dedup, mixing
+from loomgraph.llm import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
