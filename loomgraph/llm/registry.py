@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import line_dedup, mixing, quality_rules
+from loomgraph.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+    "op7_language_id": language_id.op7_language_id,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
