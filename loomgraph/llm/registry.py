@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules
+from loomgraph.llm import html_text, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules
 
 QUERIES = {
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op4_html_text": html_text.op4_html_text,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
