@@ -19,7 +19,7 @@ from loomgraph.llm.subwords import averages, bags
 LENGTHS = (2, 3, 4)
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 12, 5, 0.5
 #: The most labelled documents that the model is fitted on.
-SAMPLE = 6000
+SAMPLE = 3000
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5):

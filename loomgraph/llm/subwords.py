@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from loomgraph.llm.common import mix64, word_codes, words_of
 
+#: Texts that bags() takes at a time.
+STEP = 200
+
 
 def word_features(words: list[str], lengths: tuple[int, ...], buckets: int):
     """(features, starts): the bucket numbers of word i are features[starts[i]:starts[i + 1]]. A word has one
@@ -55,9 +58,12 @@ def repeated(codes, counts):
 
 def bags(texts: list[str | None], lengths: tuple[int, ...], buckets: int, fold: bool):
     """For each text its (buckets, weights): the average over words of the average over a word's features.
-    Bucket number `buckets` stands for a word 2-gram that the text repeats."""
+    Bucket number `buckets` stands for a word 2-gram that the text repeats. Texts are taken a few at a time
+    and bags are 32 bits wide, as the driver holds them all."""
     import numpy as np
 
+    if len(texts) > STEP:
+        return [x for i in range(0, len(texts), STEP) for x in bags(texts[i : i + STEP], lengths, buckets, fold)]
     if fold:
         texts = [t.lower() if t else t for t in texts]
     flat, counts = words_of(texts)
@@ -66,14 +72,14 @@ def bags(texts: list[str | None], lengths: tuple[int, ...], buckets: int, fold:
     ends, out, again = np.cumsum(counts), [], repeated(codes, counts)
     for i, n in enumerate(counts):
         if not n:
-            out.append((np.zeros(0, dtype=np.int64), np.zeros(0)))
+            out.append((np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)))
             continue
         own, often = np.unique(codes[ends[i] - n : ends[i]], return_counts=True)
         size = starts[own + 1] - starts[own]
         at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         ids, back = np.unique(features[at], return_inverse=True)
         weights = np.bincount(back, weights=np.repeat(often / (n * size), size))
-        out.append((np.append(ids, buckets), np.append(weights, again[i])))
+        out.append((np.append(ids, buckets).astype(np.int32), np.append(weights, again[i]).astype(np.float32)))
     return out
 
 
