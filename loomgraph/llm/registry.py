@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules
+from loomgraph.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op4_html_text": html_text.op4_html_text,
