@@ -19,7 +19,7 @@ from loomgraph.llm.subwords import averages, bags
 
 LENGTHS, BUCKETS = (1, 2, 3), 1 << 15
 #: The most documents that the machines are fitted on.
-SAMPLE = 5000
+SAMPLE = 3000
 # Families by ISO 639-1 code; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "nb", "nl", "nn", "no", "sv"),
