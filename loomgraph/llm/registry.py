@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
+from loomgraph.llm import decontaminate, html_text, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op8_ngram_join": ngram_join.op8_ngram_join,
