@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +80,6 @@ def digest(phrases: list[str | None], budget: int = DIGEST_BUDGET) -> str:
 
 def digests(phrases: Column, budget: int = DIGEST_BUDGET) -> Column:
     """digest() of an array column, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(xs: pd.Series) -> pd.Series:

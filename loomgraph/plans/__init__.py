@@ -1,0 +1 @@
+"""Plans that run several operators."""
