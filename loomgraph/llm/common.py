@@ -37,7 +37,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     executor costs no more than a re-read."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of cut(): only for one that nothing lazy reads any more."""
+    path = df.__dict__.pop("_cut_path", None)
+    if path is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def crc_bucket(column: str, modulus: int) -> str:

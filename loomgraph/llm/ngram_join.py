@@ -9,11 +9,13 @@ How a corpus gets to trees that fit a task, without losing a pair:
    groups, so at least one group is equal in both: each node emits one hash a group (for its own size class
    and those just below, whose members it may link with). Equal hashes are a bucket. A passage that many
    documents share makes no bucket, as its shingles mix with others in every group.
-3. Buckets are found by a range sort on (hash, node), which splits a hot bucket over tasks. The first node of
-   a bucket's part is its pivot; every node is verified against its least pivot. That star joins the large
-   groups of near copies with one verification a node.
-4. What remains are pairs of one bucket and different stars: an R-tree a bucket (or a pair of blocks of a
-   large one) gives those whose count vectors allow a link, and these are verified.
+3. Buckets are found by a range sort on (hash, node), which splits a hot bucket over tasks. The node that shares
+   most places with others is the pivot of a bucket, and every node is verified against the foremost of its
+   pivots. That star joins the large groups of near copies with one verification a node.
+4. What remains are pairs of one bucket and different stars. Buckets that overlap make a family; R-trees over a
+   family's points (a pair of blocks at a time, if it is large) give the pairs whose count vectors allow a
+   link, the likeliest first, and those that aren't joined yet are verified there and then. So a family gives
+   at most a link a node and block, however many of its pairs link.
 5. Components of all links.
 
 No step emits the pairs of a group, no set or link is collected, and none of the steps is bounded or sampled.
@@ -22,15 +24,18 @@ No step emits the pairs of a group, no set or link is collected, and none of the
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import FOLD, cut, mix64, pieces, table, word_codes, words_of
+from loomgraph.llm.common import FOLD, cut, discard, mix64, pieces, table, word_codes, words_of
 from loomgraph.llm.components import components
 
 #: Coordinates of a count vector, points in a leaf, rows of a block.
-AXES, LEAF, BLOCK = 16, 16, 1024
+AXES, LEAF, BLOCK = 64, 16, 2048
+#: Shingles of a block, about.
+BLOCK_SHINGLES = 1 << 21
 #: A table of so few rows of two numbers is broadcast; beyond that it is joined by a shuffle.
 SMALL = 1_000_000
 #: Each size class reaches to so many times its start.
@@ -111,7 +116,7 @@ def bucket_keys(sets, classes: Classes):
 def _point(s):
     import numpy as np
 
-    return np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=AXES).astype(np.uint32)
+    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=AXES).astype(np.uint32)
 
 
 def node_of(s) -> int | None:
@@ -239,88 +244,114 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
 
 
-class RTree:
-    """Bulk-loaded over points of counts: rows sorted by their axes in turn, LEAF to a leaf, one level of boxes
-    over leaves and one over LEAF boxes. candidates() gives the rows whose overlap bound reaches what a link of
-    their sizes needs."""
-
-    def __init__(self, points, sizes, percent: int):
-        import numpy as np
-
-        self.percent, n = percent, len(sizes)
-        order = np.lexsort((points[:, 1], points[:, 0], sizes)) if n else np.zeros(0, dtype=np.int64)
-        self.order, self.points, self.sizes = order, points[order].astype(np.int64), sizes[order]
-        self.levels = []
-        top, least, most = self.points, self.sizes, self.sizes
-        while len(top) > 1:
-            cuts = np.arange(0, len(top), LEAF)
-            top, least, most = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
-            self.levels.append((top, least, most))
-
-    def candidates(self, point, size: int):
-        import numpy as np
+def leaves(points, sizes):
+    """R-tree over points of counts, loaded in bulk: rows in order of size and leading axes, LEAF to a leaf. Gives
+    the order, and of each leaf the upper corner of its box and its least and greatest size."""
+    import numpy as np
 
-        def may(tops, least, most):
-            # A partner of size m needs percent * (size + m) / (100 + percent) in common, and m near size.
-            bound = np.minimum(tops, point).sum(axis=1)
-            near = (most * 100 >= size * self.percent) & (least * self.percent <= size * 100)
-            return near & (bound * (100 + self.percent) >= self.percent * (size + np.maximum(least, -(-size * self.percent // 100))))
+    order = np.lexsort((points[:, 1], points[:, 0], sizes))
+    cuts = np.arange(0, len(order), LEAF)
+    p, s = points[order], sizes[order]
+    return order, np.maximum.reduceat(p, cuts), np.minimum.reduceat(s, cuts), np.maximum.reduceat(s, cuts)
 
-        at = np.arange(len(self.levels[-1][0])) if self.levels else np.zeros(0, dtype=np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            tops, least, most = (x[at] for x in self.levels[depth])
-            at = at[may(tops, least, most)]
-            under = len(self.levels[depth - 1][0]) if depth else len(self.sizes)
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < under]
-        if not self.levels:
-            at = np.arange(len(self.sizes))
-        return self.order[at[may(self.points[at], self.sizes[at], self.sizes[at])]]
 
+def tree_pairs(points_a, sizes_a, points_b, sizes_b, percent: int):
+    """(i, j, slack) of the points whose summed coordinate minima reach the overlap that a link of their sizes
+    needs, by how much. Boxes of leaves are compared first: the minima of their upper corners bound all pairs
+    of their points, and a link needs sizes near each other."""
+    import numpy as np
 
-def _tree_pairs(percent: int):
-    """Candidate pairs of a bucket, or of two blocks of one: one side is the tree, the other asks."""
+    oa, top_a, low_a, high_a = leaves(points_a, sizes_a)
+    ob, top_b, low_b, high_b = leaves(points_b, sizes_b)
+    found = []
+    for k in range(len(top_a)):
+        least = np.maximum(low_b, low_a[k])
+        near = (high_a[k] * 100 >= low_b * percent) & (high_b * 100 >= low_a[k] * percent)
+        bound = np.minimum(top_b, top_a[k]).sum(axis=1)
+        at = np.flatnonzero(near & (bound * (100 + percent) >= percent * (low_a[k] + least)))
+        if not len(at):
+            continue
+        a = oa[k * LEAF : (k + 1) * LEAF]
+        b = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+        b = ob[b[b < len(ob)]]
+        for part in np.array_split(b, max(1, len(b) // 4096)):
+            common = np.minimum(points_a[a][:, None, :], points_b[part][None, :, :]).sum(axis=2)
+            slack = common * (100 + percent) - percent * (sizes_a[a][:, None] + sizes_b[part][None, :])
+            i, j = np.nonzero(slack >= 0)
+            found.append((a[i], part[j], slack[i, j]))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _family_links(percent: int):
+    """Links between different stars of a family, or of two blocks of one; pairs that links found here join
+    already are passed over."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.drop_duplicates(["node", "blk"])
-        points = np.stack([np.frombuffer(x, dtype=np.uint32) for x in pdf["point"]]).astype(np.int64)
-        sizes, nodes, roots, block = (pdf[c].to_numpy() for c in ("n", "node", "root", "blk"))
-        mine = np.flatnonzero(block == i)
-        tree = RTree(points[mine], sizes[mine], percent)
-        a, b = [], []
-        for q in np.flatnonzero(block == j):
-            hit = mine[tree.candidates(points[q], int(sizes[q]))]
-            hit = hit[roots[hit] != roots[q]]
-            if i == j:
-                hit = hit[nodes[hit] > nodes[q]]
-            a += [np.minimum(nodes[hit], nodes[q])]
-            b += [np.maximum(nodes[hit], nodes[q])]
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype=np.int64)
+        pdf = pdf.drop_duplicates(["node"])
+        points = np.stack([np.frombuffer(x, dtype=np.uint32) for x in pdf["point"]]).astype(np.int32)
+        sizes, nodes, block = (pdf[c].to_numpy() for c in ("n", "node", "blk"))
+        _, star = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]]
+        above = list(range(star.max() + 1))
+
+        def top(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        x, y, slack = tree_pairs(points[a], sizes[a], points[b], sizes[b], percent)
+        x, y = a[x], b[y]
+        keep = star[x] != star[y]
+        if i == j:
+            keep &= x < y
+        x, y = x[keep], y[keep]
+        order = np.argsort(-slack[keep], kind="stable")
+        out = []
+        for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            s, t = top(star[p]), top(star[q])
+            if s == t:
+                continue
+            u, v = (sets[p], sets[q]) if len(sets[p]) >= len(sets[q]) else (sets[q], sets[p])
+            at = np.searchsorted(u, v)
+            at[at == len(u)] = 0
+            both = int((u[at] == v).sum())
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                above[s] = t
+                out.append((nodes[p], nodes[q]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def residual_pairs(buckets: DataFrame, points: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different stars within a bucket that the R-trees let through."""
-    stars = points.join(roots, "node", "left").select("node", "n", "point", F.coalesce("root", "node").alias("root"))
-    rows = buckets.select("key", "node").join(stars.select("node", "root"), "node")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
-    rows = cut(rows.join(mixed, "key"), "join-mixed")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.join(stars.drop("root"), "node").withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "n", "root", "point")
-    return rows.groupBy("key", "i", "j").applyInPandas(_tree_pairs(percent), "a long, b long").distinct()
+def family_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different stars that share a bucket (key, node), as far as they join more."""
+    star = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rows = buckets.select("key", "node").join(star, "node")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
+    rows = cut(rows.join(mixed, "key").select("node", "root", "first").distinct(), "join-mixed")
+    family = components(rows.select(F.col("node").alias("a"), F.col("first").alias("b"))).select("node", F.col("root").alias("family"))
+    one = rows.select("node", "root").distinct().join(family, "node").join(sets.select("node", "n"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = one.groupBy("family").agg(blocks.alias("blocks"))
+    one = one.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
+    one = one.join(sets, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = one.select("family", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "n", "root", "point", "set")
+    return one.groupBy("family", "i", "j").applyInPandas(_family_links(percent), "a long, b long")
 
 
 def release(spark: SparkSession) -> None:
     """Lets go of shuffle files whose tables were cut, which wait for the collectors otherwise."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -337,23 +368,28 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     kind = dict(slim.dtypes)["id"]
-    signed = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, n long, node long, keys array<long>"), "join-signed")
-    members = signed.select("id", "n", "node")
+    signed_keys = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, n long, node long, keys array<long>"), "join-signed")
+    members = cut(signed_keys.select("id", "n", "node"), "join-members")
     reps = cut(members.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).where("id is not null"), "join-reps")
-    chosen = signed.select("id", "node", "keys").join(few(reps), ["id", "node"], "left_semi")
+    chosen = signed_keys.select("id", "node", "keys").join(few(reps), ["id", "node"], "left_semi")
     keys = chosen.select(F.explode("keys").alias("key"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = cut(keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_bucket_rows, "key long, node long, pivot long, edge boolean"), "join-buckets")
     del keys, chosen
     release(spark)
 
-    # Ranges that share a key: the least pivot is linked with the others.
-    edges = buckets.where("edge").select("key", "pivot").distinct()
-    split = edges.groupBy("key").agg(F.min("pivot").alias("pivot"), F.max("pivot").alias("top")).where("pivot <> top").select("key", "pivot")
-    over = edges.withColumnRenamed("pivot", "node").join(split, "key").select("node", "pivot")
-    star = buckets.where("not edge").select("node", "pivot").union(over).where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    star = cut(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "join-star")
-    whole = cut(buckets.where("not edge").select("key", "node").union(over_rows(buckets, split)), "join-whole") if split.limit(1).count() else buckets.where("not edge").select("key", "node")
+    # Keys that go on over several ranges may have told some of their nodes as ends only.
+    edges = buckets.where("edge").select("key", "node").distinct()
+    split = edges.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    whole = cut(buckets.where("not edge").select("key", "node").union(edges.join(split, "key").select("key", "node")), "join-whole")
+    discard(signed_keys)
+    discard(buckets)
+    # The pivot of a bucket is the node with the most company over all of its buckets.
+    company = whole.join(whole.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("m"))
+    weighed = cut(whole.join(company, "node").select("key", F.struct("m", "node").alias("w")), "join-weighed")
+    pivots = weighed.groupBy("key").agg(F.max("w").alias("pivot"))
+    star = weighed.join(pivots, "key").where("w.node <> pivot.node").groupBy("w.node").agg(F.max("pivot").alias("pivot"))
+    star = cut(star.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")), "join-star")
 
     involved = star.select(F.col("a").alias("node")).union(star.select("b")).union(whole.select("node")).distinct()
     wanted = cut(reps.join(involved, "node", "left_semi"), "join-involved")
@@ -363,8 +399,10 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     if sets.count() > sets.select("node").distinct().count():  # repeated rows
         sets = cut(sets.dropDuplicates(["node"]), "join-sets")
     links = cut(verify(star, sets, percent), "join-links")
+    release(spark)
     roots = components(links)
-    more = cut(verify(residual_pairs(whole, sets.select("node", "n", "point"), roots, percent), sets, percent), "join-links")
+    more = cut(family_links(whole, sets, roots, percent), "join-links")
+    release(spark)
     roots = components(links.union(more)) if more.limit(1).count() else roots
     of_node = reps.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_node.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -374,11 +412,6 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def over_rows(buckets: DataFrame, split: DataFrame) -> DataFrame:
-    """The rows of split keys that their ranges told as edges only."""
-    return buckets.where("edge").select("key", "node").join(split.select("key"), "key").select("key", "node")
-
-
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_shingles and the component of links at 3 words and 90 %."""
     return join_ngrams(table(spark, sf_dir, "documents"))
