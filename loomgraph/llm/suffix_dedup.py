@@ -4,17 +4,17 @@ Every byte covered by a LENGTH-byte string that also starts earlier (in a smalle
 same one) is removed; strings are judged on the input. How all suffixes of a corpus are compared without
 shuffling all of them:
 
-1. Anchors. The anchor of a string is the place of its least 16-gram hash, the leftmost of equals: equal
-   strings have equal anchors at equal places. Neighbouring strings share an anchor, about 43 of them, so a
-   document has one row for each run of strings: hash of the anchor's 16-gram, hash of the run's whole bytes.
-2. A range sort on (16-gram, run, document, place) shows each run that stood before: all of its strings are
-   repeats. The first of its kind is contested if its 16-gram has other runs, which may share some of its
-   strings; else it is unique. Ranges may split a hot 16-gram anywhere: what stands at an end is contested.
-3. Contested runs get their bytes and are sorted by bucket-pointer refinement, 16-gram by 16-gram: initial
-   buckets by 8-gram, each refined by sorting on the bucket numbers of the places 8, 16, 32 and 36 further on,
+1. Anchors. The anchor of a string is the place of its least 24-gram hash, the leftmost of equals: equal
+   strings have equal anchors at equal places. Neighbouring strings share an anchor, about 39 of them, so a
+   document has one row for each run of strings: hash of the anchor's 24-gram, hash of the run's whole bytes.
+2. A range sort on (24-gram, run, document, place) shows each run that stood before: all of its strings are
+   repeats. The first of its kind is contested if its 24-gram has other runs, which may share some of its
+   strings; else it is unique. Ranges may split a hot 24-gram anywhere: what stands at an end is contested.
+3. Contested runs get their bytes and are sorted by bucket-pointer refinement, 24-gram by 24-gram: initial
+   buckets by 32-gram, each refined by sorting on the bucket numbers of the places 32 and then 36 further on,
    the numbers of one round being the keys of the next. Buckets of one place are final and leave the sort.
    After the rounds a bucket is the strings of LENGTH equal bytes; all but its first are repeats.
-4. A hot 16-gram is refined in blocks, whose buckets are then merged by a hash of their string with a
+4. A hot 24-gram is refined in blocks, whose buckets are then merged by a hash of their string with a
    map-side minimum.
 """
 
@@ -23,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut, mix64, pieces, table
-from loomgraph.llm.ngram_join import SMALL, few, release
+from loomgraph.llm.common import cut, discard, mix64, pieces, table
+from loomgraph.llm.ngram_join import few, release
 
-LENGTH, GRAM = 100, 16
-#: Grams of a string, runs of one 16-gram that are refined together.
+LENGTH, GRAM = 100, 24
+#: Grams of a string, runs of one 24-gram that are refined together.
 WINDOW, BLOCK = LENGTH - GRAM + 1, 4096
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
@@ -58,7 +58,7 @@ def eight_grams(u):
 
 
 def runs(data: bytes):
-    """(16-gram hash, run hash, place) arrays of a document's runs of strings; a place packs the first
+    """(24-gram hash, run hash, place) arrays of a document's runs of strings; a place packs the first
     string's start, the number of strings less 1 and the last string's distance to the anchor."""
     import numpy as np
 
@@ -67,7 +67,10 @@ def runs(data: bytes):
         return (np.zeros(0, dtype=np.int64),) * 3
     with np.errstate(over="ignore"):
         v = mix64(eight_grams(np.frombuffer(data, dtype=np.uint8)))
-        gram = mix64(v[:-8] * np.uint64(0x100000001B3) + v[8:])
+        m = n - GRAM + 1
+        gram = v[:m]
+        for k in range(8, GRAM, 8):
+            gram = mix64(gram * np.uint64(0x100000001B3) + v[k : k + m])
         # The least hash of each window with its place in the low bits, by doubling.
         bits = max(1, int(len(gram)).bit_length())
         least = ((gram >> np.uint64(bits)) << np.uint64(bits)) | np.arange(len(gram), dtype=np.uint64)
@@ -110,7 +113,7 @@ def _seen_before(batches):
     def rows(contested, *columns):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), contested)), *map(pa.array, columns)], ["contested", "gram", "doc", "th", "at"])
 
-    last, held, open_group = None, None, True  # the first 16-gram of a range is contested as it may go on before it
+    last, held, open_group = None, None, True  # the first 24-gram of a range is contested as it may go on before it
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -124,7 +127,7 @@ def _seen_before(batches):
         last = (gram[-1], run[-1])
         first = ~same
         if held is not None and not goes_on:
-            held = None  # a 16-gram with one run only
+            held = None  # a 24-gram with one run only
         if not goes_on and open_group is not True:
             open_group = False
         gram, doc, th, at = gram[first], doc[first], th[first], at[first]
@@ -140,7 +143,7 @@ def _seen_before(batches):
                 held = None
         is_open = goes_on or open_group
         if len(starts) > 1 or not is_open:
-            # The last 16-gram of the batch may go on in the next one.
+            # The last 24-gram of the batch may go on in the next one.
             i = starts[-1]
             if sizes[-1] == 1:
                 held, contested[i] = (gram[i:], doc[i:], th[i:], at[i:]), False
@@ -172,43 +175,54 @@ def _segments(batches):
 
 
 def refine(text, ends):
-    """Bucket numbers of the strings of LENGTH bytes at each place of text (int64, -1 where the segment that
-    ends at ends[place] is too short): equal numbers are equal strings. Bucket-pointer refinement: initial
-    buckets by 8-gram, then by the bucket numbers of later offsets; places alone in their bucket are final."""
+    """(places, numbers): the places of text whose string of LENGTH bytes stands there twice or more, and the
+    numbers of their buckets; equal numbers are equal strings. ends[place] is where the place's segment ends,
+    over which no string goes. Bucket-pointer refinement: the initial buckets are those of the Q-grams, each is
+    refined by sorting on the bucket numbers of a later offset, and the numbers so found are the next round's
+    keys. A place alone in its bucket is final, as are those whose later place is."""
     import numpy as np
 
-    n = len(text)
+    q, n = 32, len(text)
     bucket = np.full(n, -1, dtype=np.int64)
     if n < LENGTH:
-        return bucket
-    place = np.arange(n)
-    fits = np.flatnonzero(place + 8 <= ends)
-    _, number = np.unique(eight_grams(text)[fits], return_inverse=True)
-    bucket[fits] = number
-    depth = 8
-    while depth < LENGTH:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def buckets_of(places, keys):
+        """Numbers the keys that are there twice or more, in their order; gives their places and how many."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        starts = np.flatnonzero(new)
+        shared = np.diff(np.append(starts, len(keys))) > 1
+        of = np.cumsum(new) - 1
+        kept = shared[of]
+        places, number = places[order[kept]], (np.cumsum(shared) - 1)[of[kept]]
+        bucket.fill(-1)
+        bucket[places] = number
+        return places, int(shared.sum())
+
+    v = mix64(eight_grams(text))
+    m = n - q + 1
+    gram = v[:m]
+    with np.errstate(over="ignore"):
+        for k in range(8, q, 8):
+            gram = mix64(gram * np.uint64(0x100000001B3) + v[k : k + m])
+    places = np.flatnonzero(np.arange(m) + q <= ends[:m])
+    places, many = buckets_of(places, gram[places])
+    depth = q
+    while depth < LENGTH and len(places):
         step = min(depth, LENGTH - depth)
-        fits = np.flatnonzero(place + depth + step <= ends)
-        shared = fits[np.bincount(bucket[fits])[bucket[fits]] > 1] if len(fits) else fits
-        finer = np.full(n, -1, dtype=np.int64)
-        # Numbers of places alone in their bucket stay apart from the new ones.
-        finer[fits] = bucket[fits] + n
-        if len(shared):
-            later = bucket[shared + step]
-            order = np.lexsort((later, bucket[shared]))
-            b, x = bucket[shared][order], later[order]
-            new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
-            finer[shared[order]] = np.cumsum(new) - 1
-        # Dense numbers keep the counting short.
-        kept = np.flatnonzero(finer >= 0)
-        _, number = np.unique(finer[kept], return_inverse=True)
-        finer[kept] = number
-        bucket, depth = finer, depth + step
-    return bucket
+        places = places[places + depth + step <= ends[places]]
+        later = bucket[places + step]
+        places, later = places[later >= 0], later[later >= 0]
+        if len(places):
+            places, many = buckets_of(places, bucket[places] * many + later)
+        depth += step
+    return places, bucket[places]
 
 
 def _refined(pdf):
-    """Repeats among whole groups of runs, and for salted groups the first of every bucket with its hash."""
+    """Repeats among whole groups of runs, and for salted groups the first of every string with its hash."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -218,33 +232,27 @@ def _refined(pdf):
     doc, th, start, salt = (pdf.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th", "start", "salt"))
     text, stops = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum(sizes)
     owner = np.repeat(np.arange(len(data)), sizes)
-    bucket = refine(text, stops[owner])
-    at = np.flatnonzero(bucket >= 0)
-    own = owner[at]
-    begins = start[own] + (at - (stops - sizes)[own])
-    order = np.lexsort((begins, th[own], doc[own], bucket[at]))
-    at, own, begins, number = at[order], own[order], begins[order], bucket[at][order]
+    places, number = refine(text, stops[owner])
+    # Equal strings stand at equal distances from their anchors, so the order of runs is that of the strings.
+    rank = np.empty(len(data), dtype=np.int64)
+    rank[np.lexsort((start, th, doc))] = np.arange(len(data))
+    order = np.argsort(number * len(data) + rank[owner[places]])
+    places, number = places[order], number[order]
     first = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.zeros(0, dtype=bool)
-    # Two identical places (one string of one document, told twice) aren't repeats of each other.
-    twice = np.zeros(len(number), dtype=bool)
-    if len(number):
-        twice[1:] = ~first[1:] & (begins[1:] == begins[:-1]) & (doc[own][1:] == doc[own][:-1]) & (th[own][1:] == th[own][:-1])
-        # A place told twice follows its first telling, which decides.
-        lead = np.maximum.accumulate(np.where(twice, 0, np.arange(len(number))))
-        gone = ~first[lead]
-    else:
-        gone = first
-    back = np.argsort(at[gone], kind="stable")
-    own_gone, begin_gone = own[gone][back], begins[gone][back]
-    new = np.concatenate([[True], (own_gone[1:] != own_gone[:-1]) | (begin_gone[1:] != begin_gone[:-1] + 1)]) if len(own_gone) else np.zeros(0, dtype=bool)
+    gone = np.sort(places[~first])
+    own = owner[gone]
+    new = np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (own[1:] != own[:-1])]) if len(gone) else np.zeros(0, dtype=bool)
     cuts = np.flatnonzero(new)
-    counts = np.diff(np.append(cuts, len(own_gone)))
-    out = [(np.zeros(len(cuts), dtype=np.int64), np.zeros(len(cuts), dtype=np.int64), doc[own_gone[cuts]], th[own_gone[cuts]], begin_gone[cuts], counts, np.zeros(len(cuts), dtype=bool))]
-    lead = np.flatnonzero(first & (salt[own] >= 0)) if len(number) else np.zeros(0, dtype=np.int64)
-    if len(lead):
+    counts = np.diff(np.append(cuts, len(gone)))
+    begin = lambda x: start[owner[x]] + (x - (stops - sizes)[owner[x]])
+    at, none = gone[cuts], np.zeros(len(cuts), dtype=np.int64)
+    out = [(none, none, doc[owner[at]], th[owner[at]], begin(at), counts, none.astype(bool))]
+    if (salt >= 0).any():
+        lead = np.flatnonzero((np.arange(len(text)) + LENGTH <= stops[owner]) & (salt[owner] >= 0))
+        lead = np.setdiff1d(lead, gone, assume_unique=True)
         raw = text.tobytes()
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in at[lead].tolist()), dtype=np.int64).reshape(-1, 2)
-        out.append((digests[:, 0], digests[:, 1], doc[own[lead]], th[own[lead]], begins[lead], np.ones(len(lead), dtype=np.int64), np.ones(len(lead), dtype=bool)))
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in lead.tolist()), dtype=np.int64).reshape(-1, 2)
+        out.append((digests[:, 0], digests[:, 1], doc[owner[lead]], th[owner[lead]], begin(lead), np.ones(len(lead), dtype=np.int64), np.ones(len(lead), dtype=bool)))
     for columns in out:
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["c1", "c2", "doc", "th", "start", "count", "bucket"])
@@ -309,15 +317,17 @@ def repeated_strings(slim: DataFrame) -> DataFrame:
     release(spark)
     whole = judged.where("not contested").selectExpr("doc", "th", "shiftright(at, 16) as start", "(shiftright(at, 8) & 255) + 1 as count")
 
-    contested = judged.where("contested").select("gram", "doc", "th", "at").distinct()
+    discard(found)
+    contested = judged.where("contested").select("gram", "doc", "th", "at")
     hot = cut(judged.where("contested").groupBy("gram").count().where(F.col("count") > BLOCK).selectExpr("gram", f"cast(ceil(count / {BLOCK}) as int) as blocks"), "suffix-hot")
     salted = contested.join(few(hot), "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "th", "at"), F.col("blocks")), F.lit(-1)).cast("int"))
-    wanted = cut(salted.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "salt", "at")).alias("wanted")), "suffix-wanted")
-    small = judged.where("contested").count() <= SMALL
-    texts = slim.join(F.broadcast(wanted) if small else wanted, ["doc", "th"]).select("t", "doc", "th", "wanted")
+    wanted = cut(salted.groupBy("doc", "th").agg(F.collect_set(F.struct("gram", "salt", "at")).alias("wanted")), "suffix-wanted")
+    texts = slim.join(wanted, ["doc", "th"]).select("t", "doc", "th", "wanted")
     segments = texts.mapInArrow(_segments, "gram long, salt int, doc long, th long, start long, bytes binary")
     groups = segments.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
     refined = cut(groups.mapInArrow(_sorted_groups, "c1 long, c2 long, doc long, th long, start long, count long, bucket boolean"), "suffix-refined")
+    del texts, segments, groups
+    release(spark)
     buckets = refined.where("bucket")
     firsts = buckets.groupBy("c1", "c2").agg(F.min(F.struct("doc", "th", "start")).alias("first"))
     late = buckets.join(firsts, ["c1", "c2"]).where("first < struct(doc, th, start)").select("doc", "th", "start", "count")
