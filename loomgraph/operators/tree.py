@@ -62,8 +62,9 @@ def grouped(children: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
             return done
         b = buckets(wide, fan_out).join(wide.select("parent", "child", "name"), ["parent", "child"])
         b = b.withColumn("group", F.concat_ws("/", F.lit("group"), "parent", F.col("bucket").cast("string")))
-        done = done.unionByName(b.select(F.col("group").alias("parent"), "child", "ord", "name"))
-        level = cut(b.groupBy("parent", "group").agg(F.min("ord").alias("ord"), F.concat_ws(" to ", F.min_by("name", "ord"), F.max_by("name", "ord")).alias("name")).select("parent", F.col("group").alias("child"), "ord", "name"), "bucket")
+        heads = b.groupBy("parent", "group").agg(F.min("ord").alias("ord"), F.concat_ws(" to ", F.min_by("name", "ord"), F.max_by("name", "ord")).alias("name"))
+        heads = heads.select("parent", F.col("group").alias("child"), "ord", "name")
+        level = cut(heads.unionByName(b.select(F.col("group").alias("parent"), "child", "ord", "name")), "bucket")
 
 
 def top_members(members: DataFrame, edges: DataFrame, most: int = FAN_OUT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def watch(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
     """(path, modified, hash) of files as they come."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
 
 
