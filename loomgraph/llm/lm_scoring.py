@@ -66,6 +66,17 @@ def _count(pair_slots: int):
     return run
 
 
+def _pack(batches):
+    """Slots and their counts as one array of 32-bit numbers a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        slot, background, target = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        rows = np.stack([slot.astype(np.int32).view(np.float32), background.astype(np.float32), target.astype(np.float32)])
+        yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["blob"])
+
+
 def losses(texts: list[str | None], target: list[bool], tables, pair_slots: int):
     """Mean loss (nats) a token of each text under the background and the target model, and the tokens."""
     import numpy as np
@@ -105,14 +116,15 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     pair_slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << math.ceil(math.log2(max(1, size / 6 / TOKENS_A_SLOT)))))
     counted = slim.mapInArrow(_count(pair_slots), "slot int, background int, target int")
-    # At most 2 * WORD_SLOTS + MOST_SLOTS rows, however large the corpus.
+    # At most 2 * WORD_SLOTS + pair_slots slots, however large the corpus: 12 packed bytes each.
     model = counted.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     import numpy as np
 
     tables = np.zeros((2, 2 * WORD_SLOTS + pair_slots), dtype=np.float32)
-    got = model.toPandas()
-    tables[0, got["slot"]], tables[1, got["slot"]] = got["background"], got["target"]
-    del got
+    for (blob,) in model.mapInArrow(_pack, "blob binary").toLocalIterator():
+        at, background, wanted = np.frombuffer(blob, dtype=np.float32).reshape(3, -1)
+        at = at.view(np.int32)
+        tables[0, at], tables[1, at] = background, wanted
     shared = spark.sparkContext.broadcast(tables)
 
     def run(batches):
