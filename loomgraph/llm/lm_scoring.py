@@ -11,8 +11,6 @@ that what belongs to the target isn't favoured for having been counted. Two pass
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from loomgraph.llm.common import FOLD, cut, mix64, pieces, table, word_codes, wo
 from loomgraph.llm.ngram_join import few
 
 WORD_SLOTS = 1 << 17
-TOKENS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
+PAIR_SLOTS = 1 << 21
 #: Weight of the lower order in each distribution.
 PRIOR = 8.0
 
@@ -105,7 +103,7 @@ def losses(texts: list[str | None], target: list[bool], tables, pair_slots: int)
     return out[0], out[1], counts
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_slots: int = PAIR_SLOTS) -> DataFrame:
     """id_col, n_tokens, target_loss, background_loss, score (their difference). target: the ids whose texts are
     the target corpus; all documents are the background. A null or empty text has no tokens and 0 everywhere.
     Repeated rows count as often as they stand; without a target all texts are far from it alike."""
@@ -113,8 +111,6 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     ids = cut(target.select(F.col(id_col).alias("tid")).where("tid is not null").distinct(), "lm-target")
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     slim = slim.join(few(ids), slim["id"] == F.col("tid"), "left").select("id", "t", F.col("tid").isNotNull().alias("target"))
-    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    pair_slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << math.ceil(math.log2(max(1, size / 6 / TOKENS_A_SLOT)))))
     counted = slim.mapInArrow(_count(pair_slots), "slot int, background int, target int")
     # At most 2 * WORD_SLOTS + pair_slots slots, however large the corpus: 12 packed bytes each.
     model = counted.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
