@@ -8,11 +8,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, answers, architecture, budget, derive, traverse
+from loomgraph.operators import analytics, answers, architecture, budget, derive, traverse, tree
 from loomgraph.plans import repository
 from loomgraph.sinks import exports
 
-COMMANDS = ("inspect", "impact", "context", "architecture", "ask", "index", "diff", "enrichment-plan", "enrich-targets", "visualize")
+COMMANDS = ("inspect", "impact", "context", "architecture", "ask", "index", "navigate", "serve", "snapshot", "diff", "evaluate", "enrichment-plan", "enrich-targets", "enrich-apply", "visualize", "quantize-model")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +22,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("subject", nargs="?", default="", help="a symbol, a question, or the other graph of a diff")
     p.add_argument("--depth", type=int)
     p.add_argument("--out")
+    p.add_argument("--choose", nargs="*", default=[], help="ids chosen at this step of a navigation")
+    p.add_argument("--fail-under", type=float)
+    p.add_argument("--strict", action="store_true")
+    p.add_argument("--branches", action="store_true")
     p.add_argument("--risk", action="store_true")
     p.add_argument("--no-tests", action="store_true")
     p.add_argument("--format", choices=("json", "graphml", "dot", "cytoscape", "html"), default="html")
@@ -44,10 +48,14 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
         return 1
 
 
-def run(spark: SparkSession, a, out) -> int:
-    g = repository.load(spark, a.source, repository.Layers(tests=not a.no_tests))
+def run(spark: SparkSession, a, out, g=None) -> int:
     say = lambda *x: print(*x, file=out)
-    if a.command == "inspect":
+    if a.command == "quantize-model":
+        return quantize(a, say)
+    if a.command == "serve":
+        return serve(spark, a, out)
+    g = g or repository.load(spark, a.source, repository.Layers(tests=not a.no_tests))
+    if a.command in ("inspect", "snapshot"):
         if a.out:
             exports.write_json(g, a.out)
         say(exports.report("nodes by kind", g.nodes.groupBy("kind").count().orderBy("kind")))
@@ -90,8 +98,17 @@ def run(spark: SparkSession, a, out) -> int:
         changes = answers.diff(g, repository.load(spark, a.subject))
         say(exports.report("changes", changes.groupBy("change").count().orderBy("change")))
         say(exports.report("changed symbols", answers.changed_symbols(changes).orderBy("id")))
+    elif a.command == "navigate":
+        return navigate(g, a, say)
+    elif a.command == "evaluate":
+        return evaluate(spark, g, a, say)
+    elif a.command == "enrich-apply":
+        return enrich(spark, g, a, say)
     elif a.command in ("enrichment-plan", "enrich-targets"):
-        c = budget.candidates(g.nodes, g.edges)
+        if a.branches:
+            c = tree.rank_branches(*derive.derive(g))
+        else:
+            c = budget.candidates(g.nodes, g.edges)
         tokens = F.floor((F.length("id") + F.length("name")) / 4) + 3
         items = c.select(F.struct((-F.col("score")).alias("a"), "id").alias("ord"), "id", tokens.alias("cost"))
         taken = budget.knapsack(items, a.budget).where("taken").orderBy("ord").limit(a.limit)
@@ -113,6 +130,99 @@ def run(spark: SparkSession, a, out) -> int:
     return 0
 
 
+def quantize(a, say) -> int:
+    """Writes an int8 form of a model folder and reports what it costs."""
+    import os
+    import shutil
+
+    from loomgraph.sources import models
+
+    matrix = models.read_tensor(os.path.join(a.source, "model.safetensors"), "embeddings")
+    q, scales = models.quantized(matrix.astype("f8"))
+    os.makedirs(a.out, exist_ok=True)
+    models.write_tensors(os.path.join(a.out, "model.safetensors"), {"embeddings": q, "scales": scales})
+    shutil.copy(os.path.join(a.source, "vocab.txt"), a.out)
+    say(models.quantization_report(matrix.astype("f8")))
+    return 0
+
+
+def serve(spark: SparkSession, a, out) -> int:
+    from loomgraph.plans.server import Server
+    from loomgraph.plans.session import Session
+
+    if a.source.endswith(".json"):
+        raise ValueError("a graph file can't be served: nothing tells when it is stale")
+    server = Server(Session(spark, a.source, repository.Layers(tests=not a.no_tests)))
+
+    def write(text: str) -> None:
+        out.write(text)
+        out.flush()
+
+    server.serve(sys.stdin, write)
+    return 0
+
+
+def navigate(g, a, say) -> int:
+    """One step of a navigation, kept in --out; the first asks the subject's question."""
+    import os
+
+    from loomgraph.plans.session import Navigation
+
+    nodes, links = derive.derive(g)
+    own = answers.fingerprint(g.nodes, g.edges).first()[0]
+    if a.out and os.path.exists(a.out):
+        nav = Navigation.read(a.out, own)
+        nav.choose(a.choose, links, nodes)
+    else:
+        nav = Navigation(a.subject, own, [derive.ROOT])
+    if a.out:
+        nav.write(a.out)
+    for r in nav.presented(links, nodes):
+        say(f"  {r['id']}  {r['kind']}  {r['name']}")
+    if nav.complete:
+        say("anchors:", ", ".join(nav.anchors))
+    return 0
+
+
+def evaluate(spark: SparkSession, g, a, say) -> int:
+    """Scores a question set (the subject's file): how much of what is expected the impact or context of each
+    question's subject names."""
+    from loomgraph.operators import evaluate as E
+    from loomgraph.sources import graph_json
+    from loomgraph.store import cut
+
+    q = cut(graph_json.questions(spark, a.subject), "questions")
+    named = answers.resolve_symbols(g.nodes, q.select(F.col("subject").alias("query")))
+    seeds = cut(q.join(named.withColumnRenamed("id", "node"), q["subject"] == named["query"]).select(q["id"].alias("seed"), F.col("node").alias("id")), "seeds")
+    packet = traverse.context(g, seeds, a.depth or 4)
+    parts = [packet[k].select("seed", "id") for k in ("callers", "endpoints", "dependencies")] + [traverse.impact(g, seeds, a.depth or 4).select("seed", "id")]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).join(g.nodes.select("id", "name"), "id")
+    said = F.array("id", "name", F.substring_index("name", ".", -1), F.substring_index(F.substring_index("id", "#", 1), ".", -1))
+    got = every.select(F.col("seed").alias("qid"), F.explode(said).alias("id"))
+    expected = q.select(F.col("id").alias("qid"), F.explode("expected").alias("id"))
+    r = cut(E.recall(q.select(F.col("id").alias("qid")), expected, got), "recall")
+    say(str(r.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("recall"), 3).alias("recall"), E.upper_median("expected").alias("median_expected")).first().asDict()))
+    return 0 if a.fail_under is None or E.passes(r, a.fail_under) else 2
+
+
+def enrich(spark: SparkSession, g, a, say) -> int:
+    """Applies a claims file (the subject) and writes the graph to --out; --strict fails if any was rejected."""
+    from loomgraph.sources import graph_json
+
+    with open(a.subject, encoding="utf-8") as f:
+        found = graph_json.claims(f.read())
+    rows = [(c["claim_id"], c["subject"], c["kind"], c["value"], c["confidence"], c["ord"]) for c in found]
+    claims = spark.createDataFrame(rows, "claim_id string, subject string, kind string, value string, confidence double, ord int")
+    cites = spark.createDataFrame([(c["claim_id"], *x) for c in found for x in c["citations"]], "claim_id string, src string, dst string, kind string")
+    verdicts = answers.verify_claims(claims, cites, g.nodes, g.edges)
+    nodes, rejected = answers.merge_claims(g.nodes, claims, verdicts)
+    if a.out:
+        exports.write_json(type(g)(nodes.select(*g.nodes.columns), g.edges), a.out)
+    lost = rejected.count()
+    say(f"{len(rows) - lost} claims applied, {lost} rejected", exports.report("rejected", rejected.orderBy("claim_id")))
+    return 3 if a.strict and lost else 0
+
+
 def repository_edges(g):
     from loomgraph.model import lifted
 

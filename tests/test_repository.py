@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from loomgraph import cli
 from loomgraph.operators import derive, resolve, retrieval, tree
 from loomgraph.plans import repository
+from loomgraph.plans.server import Server
 from loomgraph.plans.session import Navigation, Session, changed_files
 from loomgraph.sinks import exports
-from loomgraph.sources import git_log, graph_json, models
+from loomgraph.sources import classpath, git_log, graph_json, models
 from loomgraph.sources.java_source import first_sentence, parse
 from loomgraph.streaming import refresh
 
@@ -163,6 +164,57 @@ def test_commands(root, spark, tmp_path):
     assert "Work packets" in run("enrich-targets", g)[1]
 
 
+def test_more_commands(root, spark, tmp_path):
+    def run(*args):
+        out = io.StringIO()
+        return cli.main(list(args), spark, out), out.getvalue()
+
+    g = str(tmp_path / "g.json")
+    assert run("snapshot", root, "--out", g)[0] == 0
+    step = str(tmp_path / "nav.json")
+    first = run("navigate", g, "where is paying", "--out", step)[1]
+    assert "module:shop" in first and "package:shop" not in first
+    assert run("navigate", g, "--out", step, "--choose", "index:module:shop")[0] == 0
+    assert run("navigate", g, "--out", step, "--choose", "index:nowhere")[0] == 1
+    (tmp_path / "q.tsv").write_text("q1\tshop\tWhat breaks?\tIMPACT\tPayments\tpay|OrderController\t\t0.5\nq2\tshop\tWhat?\tIMPACT\tPayments\tNothing\t\t0.5\n")
+    code, said = run("evaluate", g, str(tmp_path / "q.tsv"), "--fail-under", "0.4")
+    assert code == 0 and "'recall': 0.5" in said
+    assert run("evaluate", g, str(tmp_path / "q.tsv"), "--fail-under", "0.6")[0] == 2
+    cite = {"from": "type:shop.CardPayments", "to": "type:shop.Payments", "kind": "IMPLEMENTS"}
+    (tmp_path / "c.json").write_text(json.dumps([{"kind": "SUMMARY", "subject": "type:shop.CardPayments", "value": "pays by card", "citations": [cite]}, {"kind": "RISK", "subject": "type:shop.Order", "value": "x"}]))
+    code, said = run("enrich-apply", g, str(tmp_path / "c.json"), "--out", str(tmp_path / "e.json"), "--strict")
+    assert code == 3 and said.startswith("1 claims applied, 1 rejected")
+    assert any(n["attributes"].get("claim.summary") == "pays by card" for n in json.load(open(tmp_path / "e.json"))["nodes"])
+    assert run("enrichment-plan", g, "--branches")[0] == 0 and run("serve", g)[0] == 1
+
+
+def test_server(root, spark):
+    s = Server(Session(spark, root))
+    say = lambda method, own=1, **params: json.loads(s.handle(json.dumps({"jsonrpc": "2.0", "id": own, "method": method, "params": params})))
+    tool = lambda name, **a: say("tools/call", name=name, arguments=a)
+    assert json.loads(s.handle("{"))["error"]["code"] == -32700 and json.loads(s.handle("[]"))["error"]["code"] == -32600
+    assert s.handle('{"jsonrpc": "2.0", "method": "ping"}') is None and say("nope")["error"]["code"] == -32601
+    assert say("initialize", protocolVersion="2024-11-05")["result"]["protocolVersion"] == "2024-11-05" and len(say("tools/list")["result"]["tools"]) == 6
+    assert tool("ask")["error"]["code"] == tool("impact", symbol="X", depth=99)["error"]["code"] == tool("x")["error"]["code"] == -32602
+    text = lambda r: r["result"]["content"][0]["text"]
+    assert "nothing is analyzed" in text(tool("status"))
+    assert "OrderController" in text(tool("impact", symbol="Payments", depth=2)) and tool("impact", symbol="NoSuch")["result"]["isError"]
+    assert "index:module:shop" in text(tool("navigate_start", question="q"))
+    assert tool("navigate_choose", descent="descent-0", ids=["index:x"])["result"]["isError"]
+    assert "type:shop" in text(tool("navigate_choose", descent="descent-0", ids=["index:module:shop"]))
+    assert "SUPPORTED" in text(tool("ask", question="what is affected if Payments changes")) and "state: ready" in text(tool("status"))
+
+
+def test_classpath(tmp_path):
+    assert classpath.discover(str(tmp_path)).source == "none" and "mvn" in classpath.discover(str(tmp_path)).advice
+    (tmp_path / "a/target/classes").mkdir(parents=True)
+    found = classpath.discover(str(tmp_path))
+    assert found.entries == (str(tmp_path / "a/target/classes"),) and not found.dependencies
+    (tmp_path / "a/target/classpath.txt").write_text(f"{tmp_path}/a:/no/such")
+    found = classpath.discover(str(tmp_path))
+    assert str(tmp_path / "a") in found.entries and found.dependencies and "/no/such" not in found.entries
+
+
 def test_session(root, spark):
     s = Session(spark, root, repository.Layers(framework=False, structure=False))
     assert s.refresh() and not s.refresh()
