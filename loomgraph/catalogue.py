@@ -478,7 +478,21 @@ def knapsack_skip(spark, sf_dir):
     return budget.knapsack(items, 500, "p_brand").select("p_brand", F.col("id").alias("p_partkey"), "taken")
 
 
-@query("compress_packets")
+_COST = "floor((length({0}) + length({1})) / 4)::BIGINT + 3"
+_COMPRESS = f"""WITH {_E}, o AS (SELECT dst AS seed, src AS id FROM e WHERE kind = 'DEPENDS_ON' AND src LIKE 'order:%'),
+ c AS (SELECT seed, row_number() OVER w AS n, sum({_COST.format('id', 'id')}) OVER w AS s FROM o WINDOW w AS (PARTITION BY seed ORDER BY id ROWS UNBOUNDED PRECEDING)),
+ v AS (SELECT seed, row_number() OVER w AS n, sum(floor((length(src) + length(dst) + length(file)) / 4)::BIGINT + 6) OVER w AS s FROM e JOIN o ON o.id = split_part(e.src, '#', 1)
+  WHERE kind = 'CONSUMES' WINDOW w AS (PARTITION BY seed ORDER BY -confidence, src, dst, resolver, line, col ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT 'customer:' || c_custkey AS seed, {_COST.format("('customer:' || c_custkey)", 'c_name')} AS f, 1 AS ends FROM customer),
+ t AS (SELECT f.*, coalesce((SELECT max(n) FROM c WHERE c.seed = f.seed), 0) AS cn, coalesce((SELECT max(s) FROM c WHERE c.seed = f.seed), 0) AS cs,
+  coalesce((SELECT max(n) FROM v WHERE v.seed = f.seed), 0) AS vn, coalesce((SELECT max(s) FROM v WHERE v.seed = f.seed), 0) AS vs FROM f),
+ k AS (SELECT t.*, CASE WHEN f + cs + vs <= 300 THEN cn ELSE greatest(coalesce((SELECT max(n) FROM c WHERE c.seed = t.seed AND t.f + t.vs + c.s <= 300), 0), least(cn, ends)) END AS ck FROM t),
+ m AS (SELECT k.*, coalesce((SELECT s FROM c WHERE c.seed = k.seed AND c.n = k.ck), 0) AS ckept FROM k),
+ z AS (SELECT m.*, CASE WHEN f + ckept + vs <= 300 THEN vn ELSE greatest(coalesce((SELECT max(n) FROM v WHERE v.seed = m.seed AND m.f + m.ckept + v.s <= 300), 0), least(vn, 1)) END AS vk FROM m)
+ SELECT seed, ck::BIGINT AS callers_kept, vk::BIGINT AS evidence_kept, (f + ckept + coalesce((SELECT s FROM v WHERE v.seed = z.seed AND v.n = z.vk), 0))::BIGINT AS tokens FROM z"""
+
+
+@query("compress_packets", _COMPRESS)
 def compress_packets(spark, sf_dir):
     g = star_graph(spark, sf_dir)
     orders = g.edges.where("kind = 'DEPENDS_ON' and src like 'order:%'").select(F.col("dst").alias("seed"), F.col("src").alias("id"))
@@ -512,7 +526,20 @@ def bucket_fanout(spark, sf_dir):
     return b.groupBy("parent", "bucket").agg(F.min("child").alias("first"), F.max("child").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("subtree_bm25")
+def _subtree_sql() -> str:
+    from collections import Counter
+
+    asked = ", ".join(f"({q}, '{t}', {n})" for q, s in QUESTIONS for t, n in Counter(X.query_terms(s)).items())
+    cards = "(SELECT 'doc:' || doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'source:' || coalesce(source, ''), 'source:' || coalesce(source, '') FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'root', 'all sources') AS cards"
+    return f"""WITH {_TOKENS.format(id='id', text='text', table=cards)}, q(qid, term, mult) AS (VALUES {asked}),
+ up AS (SELECT id, id AS anc FROM lens UNION SELECT 'doc:' || doc_id, 'source:' || coalesce(source, '') FROM documents WHERE text IS NOT NULL UNION SELECT id, 'root' FROM lens),
+ ln AS (SELECT anc, sum(length) AS length FROM up JOIN lens USING (id) GROUP BY anc), st AS (SELECT count(*) AS n, greatest(avg(length), 1) AS al FROM ln),
+ df AS (SELECT term, count(*) AS df FROM post GROUP BY term), pl AS (SELECT anc, term, sum(tf) AS tf FROM post JOIN up USING (id) GROUP BY ALL)
+ SELECT qid::BIGINT AS qid, anc AS id, round(sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score
+ FROM pl JOIN q USING (term) JOIN df USING (term) JOIN ln USING (anc) CROSS JOIN st GROUP BY qid, anc"""
+
+
+@query("subtree_bm25", _subtree_sql())
 def subtree_bm25(spark, sf_dir):
     """BM25 where a document is a subtree: sources over documents, one root over sources."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
