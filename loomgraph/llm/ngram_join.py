@@ -6,17 +6,19 @@ How a corpus gets to trees that fit a task, without losing a pair:
 
 1. Documents with equal sets are one node (a 64-bit hash of the sorted set).
 2. Two linked sets differ in at most D shingles, D following from the sizes. Shingles are dealt to D + 1
-   groups, so at least one group is equal in both: each node emits one hash a group (for its own size class
-   and those just below, whose members it may link with). Equal hashes are a bucket. A passage that many
+   groups and a few more, so at least one group with shingles is equal in both: each node emits one hash a group
+   (for its own size class and those just below, whose members it may link with). Equal hashes are a bucket. A passage that many
    documents share makes no bucket, as its shingles mix with others in every group.
 3. Buckets are found by a range sort on (hash, node), which splits a hot bucket over tasks. The node that shares
-   most places with others is the pivot of a bucket, and every node is verified against the foremost of its
-   pivots. That star joins the large groups of near copies with one verification a node.
-4. What remains are pairs of one bucket and different stars. Buckets that overlap make a family; R-trees over a
-   family's points (a pair of blocks at a time, if it is large) give the pairs whose count vectors allow a
-   link, the likeliest first, and those that aren't joined yet are verified there and then. So a family gives
-   at most a link a node and block, however many of its pairs link.
-5. Components of all links.
+   most places with others is the pivot of a bucket, and every node goes with the foremost of its pivots if
+   their count vectors allow a link. These stars join the large groups of near copies with a pair a node.
+4. Of the pairs in a bucket that are in different stars, R-trees over the points keep those whose count vectors
+   allow a link; a forest of them (a node less than nodes, at most) is enough to tell families.
+5. Families get their shingles. Stars are verified, and what they leave apart is looked at by a family's R-tree
+   (a pair of blocks at a time, if it is large): likeliest pairs first, verified there and then, and those
+   that found links join already are passed over. So a family gives at most a link a node and block, however
+   many of its pairs link.
+6. Components of all links.
 
 No step emits the pairs of a group, no set or link is collected, and none of the steps is bounded or sampled.
 """
@@ -24,6 +26,7 @@ No step emits the pairs of a group, no set or link is collected, and none of the
 from __future__ import annotations
 
 import gc
+import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,15 +74,30 @@ class Classes:
     def __init__(self, percent: int):
         self.percent = percent
         self.tops = [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def upto(self, n: int):
         while self.tops[-1] < n:
             low = self.tops[-1] + 1
             self.tops.append(max(low, int(low * WIDTH)))
 
-    def groups(self, c: int) -> int:
-        top = self.tops[c]
-        return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
+    def groups(self, c: int) -> tuple[int, int]:
+        """(groups, empty ones that don't matter): with so many groups beyond those that may differ, two linked sets
+        have an equal group that isn't empty, if one of them has no more empty groups than that."""
+        if c not in self.known:
+            top, low = self.tops[c], self.tops[c - 1] + 1 if c else 1
+            differ = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+            spare = 0
+            while differ:  # three deviations over the empty groups that the smallest set of the class may expect
+                g = differ + 1 + spare
+                empty = g * math.exp(-low / g)
+                if spare >= empty + 3 * math.sqrt(empty):
+                    break
+                if spare > differ:
+                    break
+                spare += 1
+            self.known[c] = (differ + 1 + spare, spare)
+        return self.known[c]
 
     def of(self, n: int) -> list[int]:
         """Its own class and those below with a size that may link with n."""
@@ -104,11 +122,13 @@ def bucket_keys(sets, classes: Classes):
                 continue
             mixed, keys = mix64(s ^ np.uint64(0x5DEECE66D)), []
             for c in classes.of(len(s)):
-                g = classes.groups(c)
+                g, spare = classes.groups(c)
                 at = (mixed % np.uint64(g)).astype(np.int64)
                 sums = np.zeros(g, dtype=np.uint64)
                 np.add.at(sums, at, s)
-                keys.append(mix64(sums ^ mix64(np.arange(g, dtype=np.uint64) + np.uint64(c << 40))))
+                own = mix64(sums ^ mix64(np.arange(g, dtype=np.uint64) + np.uint64(c << 40)))
+                full = np.bincount(at, minlength=g) > 0
+                keys.append(own[full] if g - int(full.sum()) <= spare else own)
             out.append(np.concatenate(keys).view(np.int64))
     return out
 
@@ -140,8 +160,8 @@ def _signatures(k: int, percent: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                    ["id", "n", "node", "keys"],
+                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_point(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    ["id", "n", "node", "point", "keys"],
                 )
 
     return run
@@ -212,8 +232,7 @@ def _sets(k: int):
                 sets = shingle_sets(part.column("t").to_pylist(), k)
                 # Another text under the same id isn't this node's.
                 own = [(x, s) for x, s in zip(part.column("node").to_pylist(), sets, strict=True) if node_of(s) == x]
-                columns = [x for x, _ in own], [len(s) for _, s in own], [_point(s).tobytes() for _, s in own], [s.tobytes() for _, s in own]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "point", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["node", "set"])
 
     return run
 
@@ -237,11 +256,118 @@ def _linked(percent: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. Sizes and count vectors are looked at before sets travel."""
-    side = lambda x, *more: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in more])
-    near = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b")
-    near = near.where("n_a * 100 >= n_b * {0} and n_b * 100 >= n_a * {0}".format(percent)).select("a", "b")
-    return near.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+    """The pairs (a, b) of nodes that link."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+
+
+def slack_of(points_a, sizes_a, points_b, sizes_b, percent: int):
+    """By how much the summed coordinate minima of each pair reach the overlap that a link of their sizes needs."""
+    import numpy as np
+
+    common = np.minimum(points_a, points_b).sum(axis=1, dtype=np.int64)
+    return common * (100 + percent) - percent * (sizes_a + sizes_b)
+
+
+def _points(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, AXES).astype(np.int32)
+
+
+def _allowed(percent: int):
+    """The pairs (a, b) whose count vectors allow a link."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            mask = pa.array(slack_of(_points(batch.column("point_a")), n_a, _points(batch.column("point_b")), n_b, percent) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    return run
+
+
+def _forest(a, b):
+    """Mask of the pairs that join what earlier ones didn't."""
+    import numpy as np
+
+    _, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    above = list(range(back.max() + 1)) if len(back) else []
+    keep = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(back[: len(a)].tolist(), back[len(a) :].tolist(), strict=True)):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[x] = y
+            keep[i] = True
+    return keep
+
+
+def _bucket_forests(percent: int):
+    """Rows of buckets, whole and sorted by (key, i, j): a forest of the pairs of different stars whose count vectors
+    allow a link. Small buckets are looked at together, pair by pair; large ones through their trees."""
+
+    def pairs_of(t):
+        import numpy as np
+
+        key, i, j, blk, node, n, star = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "blk", "node", "n", "star"))
+        points = _points(t.column("point"))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(key)))
+        found = []
+        for s in np.unique(sizes[sizes > 1]):
+            at = starts[sizes == s]
+            if s <= LEAF:
+                x, y = np.triu_indices(int(s), 1)
+                found.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel(), None))
+                continue
+            for begin in at.tolist():
+                own = np.arange(begin, begin + s)
+                a, b = own[blk[own] == i[begin]], own[blk[own] == j[begin]]
+                if len(a) and len(b):
+                    x, y, slack = tree_pairs(points[a], n[a], points[b], n[b], percent)
+                    found.append((a[x], b[y], slack))
+        out = []
+        for x, y, slack in found:
+            differ = star[x] != star[y]
+            x, y = x[differ], y[differ]
+            if slack is None:
+                for begin in range(0, len(x), 20_000):
+                    u, v = x[begin : begin + 20_000], y[begin : begin + 20_000]
+                    fine = slack_of(points[u], n[u], points[v], n[v], percent) >= 0
+                    out.append((node[u[fine]], node[v[fine]]))
+            else:
+                out.append((node[x], node[y]))
+        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        keep = _forest(a, b)
+        return a[keep], b[keep]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches(([rest] if rest is not None else []) + [batch]).combine_chunks().to_batches()[0]
+            key, i, j = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
+            changes = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            last = int(changes[-1]) + 1 if len(changes) else 0
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(t.slice(0, last))], ["a", "b"])
+            rest = t.slice(last)
+        if rest is not None and rest.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(rest)], ["a", "b"])
+
+    return run
 
 
 def leaves(points, sizes):
@@ -285,8 +411,8 @@ def tree_pairs(points_a, sizes_a, points_b, sizes_b, percent: int):
 
 
 def _family_links(percent: int):
-    """Links between different stars of a family, or of two blocks of one; pairs that links found here join
-    already are passed over."""
+    """Links between what the verified stars of a family, or of two blocks of one, leave apart; pairs that links
+    found here join already are passed over."""
 
     def run(pdf):
         import numpy as np
@@ -296,16 +422,22 @@ def _family_links(percent: int):
         pdf = pdf.drop_duplicates(["node"])
         points = np.stack([np.frombuffer(x, dtype=np.uint32) for x in pdf["point"]]).astype(np.int32)
         sizes, nodes, block = (pdf[c].to_numpy() for c in ("n", "node", "blk"))
-        _, star = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]]
-        above = list(range(star.max() + 1))
+        _, back = np.unique(np.concatenate([nodes, pdf["star"].to_numpy()]), return_inverse=True)
+        above = list(range(back.max() + 1))
 
         def top(x):
             while above[x] != x:
                 above[x] = x = above[above[x]]
             return x
 
+        of = back[: len(nodes)].tolist()
+        for x, y in zip(of, back[len(nodes) :].tolist(), strict=True):
+            above[top(x)] = top(y)
+        star = np.array([top(x) for x in of])
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]]
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         x, y, slack = tree_pairs(points[a], sizes[a], points[b], sizes[b], percent)
         x, y = a[x], b[y]
         keep = star[x] != star[y]
@@ -315,7 +447,7 @@ def _family_links(percent: int):
         order = np.argsort(-slack[keep], kind="stable")
         out = []
         for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            s, t = top(star[p]), top(star[q])
+            s, t = top(of[p]), top(of[q])
             if s == t:
                 continue
             u, v = (sets[p], sets[q]) if len(sets[p]) >= len(sets[q]) else (sets[q], sets[p])
@@ -330,19 +462,28 @@ def _family_links(percent: int):
     return run
 
 
-def family_links(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of different stars that share a bucket (key, node), as far as they join more."""
-    star = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rows = buckets.select("key", "node").join(star, "node")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
-    rows = cut(rows.join(mixed, "key").select("node", "root", "first").distinct(), "join-mixed")
-    family = components(rows.select(F.col("node").alias("a"), F.col("first").alias("b"))).select("node", F.col("root").alias("family"))
-    one = rows.select("node", "root").distinct().join(family, "node").join(sets.select("node", "n"), "node")
+def forests(buckets: DataFrame, points: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that tell families: of every bucket (key, node) with nodes of different stars a forest of the
+    pairs whose count vectors allow a link. star: (node, star) of those that have one."""
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = buckets.join(star, "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
+    mixed = rows.groupBy("key").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "star").join(points, "node")
+    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "blk", "node", "n", "star", "point")
+    return rows.mapInArrow(_bucket_forests(percent), "a long, b long").distinct()
+
+
+def family_links(families: DataFrame, points: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links within families (node, root) beyond the verified stars `links` (a, b), as far as they join more."""
+    one = families.withColumnRenamed("root", "family").join(links.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left")
+    one = one.withColumn("star", F.coalesce("star", "node")).join(points, "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = one.groupBy("family").agg(blocks.alias("blocks"))
-    one = one.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
+    mixed = one.groupBy("family").agg(blocks.alias("blocks"), F.min("star").alias("lo"), F.max("star").alias("hi")).where("lo <> hi").select("family", "blocks")
+    one = one.join(mixed, "family").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     one = one.join(sets, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = one.select("family", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "n", "root", "point", "set")
+    one = one.select("family", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "n", "star", "point", "set")
     return one.groupBy("family", "i", "j").applyInPandas(_family_links(percent), "a long, b long")
 
 
@@ -368,13 +509,16 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     kind = dict(slim.dtypes)["id"]
-    signed_keys = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, n long, node long, keys array<long>"), "join-signed")
+    signed_keys = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, n long, node long, point binary, keys array<long>"), "join-signed")
     members = cut(signed_keys.select("id", "n", "node"), "join-members")
+    points = signed_keys.where("node is not null").select("id", "node", "n", "point")
     reps = cut(members.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).where("id is not null"), "join-reps")
     chosen = signed_keys.select("id", "node", "keys").join(few(reps), ["id", "node"], "left_semi")
     keys = chosen.select(F.explode("keys").alias("key"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = cut(keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_bucket_rows, "key long, node long, pivot long, edge boolean"), "join-buckets")
+    points = cut(points.join(few(reps), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "point"), "join-points")
+    discard(signed_keys)
     del keys, chosen
     release(spark)
 
@@ -382,28 +526,30 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     edges = buckets.where("edge").select("key", "node").distinct()
     split = edges.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     whole = cut(buckets.where("not edge").select("key", "node").union(edges.join(split, "key").select("key", "node")), "join-whole")
-    discard(signed_keys)
     discard(buckets)
     # The pivot of a bucket is the node with the most company over all of its buckets.
     company = whole.join(whole.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("node").agg(F.sum("m").alias("m"))
     weighed = cut(whole.join(company, "node").select("key", F.struct("m", "node").alias("w")), "join-weighed")
     pivots = weighed.groupBy("key").agg(F.max("w").alias("pivot"))
     star = weighed.join(pivots, "key").where("w.node <> pivot.node").groupBy("w.node").agg(F.max("pivot").alias("pivot"))
-    star = cut(star.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")), "join-star")
+    star = star.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    side = lambda x: points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
+    star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
+    star = cut(star.mapInArrow(_allowed(percent), "a long, b long"), "join-star")
+    close = cut(forests(whole, points, star.select(F.col("a").alias("node"), F.col("b").alias("star")), percent), "join-close")
+    release(spark)
+    families = components(star.union(close))
 
-    involved = star.select(F.col("a").alias("node")).union(star.select("b")).union(whole.select("node")).distinct()
-    wanted = cut(reps.join(involved, "node", "left_semi"), "join-involved")
+    wanted = cut(reps.join(families.select("node"), "node", "left_semi"), "join-wanted")
     texts = slim.join(few(wanted), "id").select("node", "t")
-    sets = texts.mapInArrow(_sets(k), "node long, n long, point binary, set binary")
-    sets = cut(sets, "join-sets")
+    sets = cut(texts.mapInArrow(_sets(k), "node long, set binary"), "join-sets")
     if sets.count() > sets.select("node").distinct().count():  # repeated rows
         sets = cut(sets.dropDuplicates(["node"]), "join-sets")
     links = cut(verify(star, sets, percent), "join-links")
     release(spark)
-    roots = components(links)
-    more = cut(family_links(whole, sets, roots, percent), "join-links")
+    more = cut(family_links(families, points, sets, links, percent), "join-links")
     release(spark)
-    roots = components(links.union(more)) if more.limit(1).count() else roots
+    roots = components(links.union(more))
     of_node = reps.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_node.groupBy("root").agg(F.min("id").alias("component_id"))
     named = of_node.join(least, "root").select("node", "component_id")
