@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BLANKS, LOWER, UPPER, table
+from loomgraph.llm.common import BLANKS, LOWER, UPPER, cut, table
 
 
 def line_key(line: Column) -> Column:
@@ -42,6 +42,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs)
         .select("h1", "h2")
     )
+    # As a table of its own it is broadcast if it is small by its size; else both sides of the join are plain
+    # shuffles, and the part of a line that every document has can be split.
+    counts = cut(counts, "line-counts")
     lines = (
         keyed.select("id", "th", F.posexplode("keys").alias("pos", "k"))
         .where(F.length("k") >= min_chars)
