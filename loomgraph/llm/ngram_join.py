@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import FOLD, cut, discard, mix64, pieces, table, word_codes, words_of
 from loomgraph.llm.components import components
 
-#: Coordinates of a count vector, points in a leaf, rows of a block.
+#: Least coordinates of a count vector, points in a leaf, rows of a block.
 AXES, LEAF, BLOCK = 64, 16, 2048
+#: A vector gets four times the coordinates until no more than so many shingles come to each, on average: the
+#: counts of unlike sets differ by chance as the root of their size, and what a link may differ in grows with it.
+CROWD = 8
 #: Shingles of a block, about.
 BLOCK_SHINGLES = 1 << 21
 #: A table of so few rows of two numbers is broadcast; beyond that it is joined by a shuffle.
@@ -136,7 +139,10 @@ def bucket_keys(sets, classes: Classes):
 def _point(s):
     import numpy as np
 
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=AXES).astype(np.uint32)
+    axes = AXES
+    while axes * CROWD < len(s):
+        axes *= 4
+    return np.bincount((s >> np.uint64(65 - axes.bit_length())).astype(np.int64), minlength=axes).astype(np.uint32)
 
 
 def node_of(s) -> int | None:
@@ -269,23 +275,43 @@ def slack_of(points_a, sizes_a, points_b, sizes_b, percent: int):
     return common * (100 + percent) - percent * (sizes_a + sizes_b)
 
 
-def _points(column):
+def _points(blobs: list[bytes]):
+    """Count vectors as a matrix. Coordinates are leading bits of hashes, so a longer vector becomes a shorter one
+    by sums of neighbours; the shortest sets the length."""
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, AXES).astype(np.int32)
+    rows = [np.frombuffer(x, dtype=np.uint32) for x in blobs]
+    axes = min(map(len, rows))
+    return np.stack([r if len(r) == axes else r.reshape(axes, -1).sum(axis=1) for r in rows]).astype(np.int32)
+
+
+def _axes(column):
+    """The number of coordinates of each count vector of an Arrow column."""
+    import pyarrow.compute as pc
+
+    return pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
 
 
 def _allowed(percent: int):
     """The pairs (a, b) whose count vectors allow a link."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            mask = pa.array(slack_of(_points(batch.column("point_a")), n_a, _points(batch.column("point_b")), n_b, percent) >= 0)
+            a, b = (batch.column(c).to_pylist() for c in ("point_a", "point_b"))
+            axes = np.minimum(_axes(batch.column("point_a")), _axes(batch.column("point_b")))
+            fine = np.zeros(len(axes), dtype=bool)
+            for x in np.unique(axes):
+                at = np.flatnonzero(axes == x)
+                for part in np.array_split(at, max(1, len(at) * int(x) // (1 << 21))):
+                    both = _points([a[k] for k in part] + [b[k] for k in part])
+                    fine[part] = slack_of(both[: len(part)], n_a[part], both[len(part) :], n_b[part], percent) >= 0
+            mask = pa.array(fine)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
@@ -317,35 +343,33 @@ def _bucket_forests(percent: int):
         import numpy as np
 
         key, i, j, blk, node, n, star = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "blk", "node", "n", "star"))
-        points = _points(t.column("point"))
+        blobs, own_axes = t.column("point").to_pylist(), _axes(t.column("point"))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(key)))
-        found = []
-        for s in np.unique(sizes[sizes > 1]):
-            at = starts[sizes == s]
-            if s <= LEAF:
-                x, y = np.triu_indices(int(s), 1)
-                found.append(((at[:, None] + x).ravel(), (at[:, None] + y).ravel(), None))
-                continue
-            for begin in at.tolist():
-                own = np.arange(begin, begin + s)
-                a, b = own[blk[own] == i[begin]], own[blk[own] == j[begin]]
+        sizes, axes = np.diff(np.append(starts, len(key))), np.minimum.reduceat(own_axes, starts)
+        out = [(np.zeros(0, dtype=np.int64),) * 2]
+        for s, w in {(int(x), int(y)) for x, y in zip(sizes, axes, strict=True) if x > 1}:
+            at = starts[(sizes == s) & (axes == w)]
+            step = max(1, (1 << 21) // (s * s * w)) if s <= LEAF else 1
+            for begin in range(0, len(at), step):
+                heads = at[begin : begin + step]
+                rows = (heads[:, None] + np.arange(s)).ravel()
+                points = _points([blobs[k] for k in rows])
+                if s <= LEAF:
+                    x, y = (np.arange(len(heads))[:, None] * s + u for u in np.triu_indices(s, 1))
+                    x, y = x.ravel(), y.ravel()
+                    apart = star[rows[x]] != star[rows[y]]
+                    x, y = x[apart], y[apart]
+                    fine = slack_of(points[x], n[rows[x]], points[y], n[rows[y]], percent) >= 0
+                    out.append((node[rows[x[fine]]], node[rows[y[fine]]]))
+                    continue
+                a, b = np.flatnonzero(blk[rows] == i[rows[0]]), np.flatnonzero(blk[rows] == j[rows[0]])
                 if len(a) and len(b):
-                    x, y, slack = tree_pairs(points[a], n[a], points[b], n[b], percent)
-                    found.append((a[x], b[y], slack))
-        out = []
-        for x, y, slack in found:
-            differ = star[x] != star[y]
-            x, y = x[differ], y[differ]
-            if slack is None:
-                for begin in range(0, len(x), 20_000):
-                    u, v = x[begin : begin + 20_000], y[begin : begin + 20_000]
-                    fine = slack_of(points[u], n[u], points[v], n[v], percent) >= 0
-                    out.append((node[u[fine]], node[v[fine]]))
-            else:
-                out.append((node[x], node[y]))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
+                    x, y, _ = tree_pairs(points[a], n[rows[a]], points[b], n[rows[b]], percent)
+                    x, y = rows[a[x]], rows[b[y]]
+                    apart = star[x] != star[y]
+                    out.append((node[x[apart]], node[y[apart]]))
+        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
         keep = _forest(a, b)
         return a[keep], b[keep]
 
@@ -400,7 +424,7 @@ def tree_pairs(points_a, sizes_a, points_b, sizes_b, percent: int):
         a = oa[k * LEAF : (k + 1) * LEAF]
         b = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         b = ob[b[b < len(ob)]]
-        for part in np.array_split(b, max(1, len(b) // 4096)):
+        for part in np.array_split(b, max(1, len(b) * points_a.shape[1] // (1 << 18))):
             common = np.minimum(points_a[a][:, None, :], points_b[part][None, :, :]).sum(axis=2)
             slack = common * (100 + percent) - percent * (sizes_a[a][:, None] + sizes_b[part][None, :])
             i, j = np.nonzero(slack >= 0)
@@ -420,7 +444,7 @@ def _family_links(percent: int):
 
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         pdf = pdf.drop_duplicates(["node"])
-        points = np.stack([np.frombuffer(x, dtype=np.uint32) for x in pdf["point"]]).astype(np.int32)
+        points = _points(list(pdf["point"]))
         sizes, nodes, block = (pdf[c].to_numpy() for c in ("n", "node", "blk"))
         _, back = np.unique(np.concatenate([nodes, pdf["star"].to_numpy()]), return_inverse=True)
         above = list(range(back.max() + 1))
