@@ -415,7 +415,7 @@ def tree_pairs(points_a, sizes_a, points_b, sizes_b, percent: int):
     ob, top_b, low_b, high_b = leaves(points_b, sizes_b)
     found = []
     for k in range(len(top_a)):
-        least = np.maximum(low_b, low_a[k])
+        least = np.maximum(low_b, -(-low_a[k] * percent // 100))  # a linked set may be as small as that
         near = (high_a[k] * 100 >= low_b * percent) & (high_b * 100 >= low_a[k] * percent)
         bound = np.minimum(top_b, top_a[k]).sum(axis=1)
         at = np.flatnonzero(near & (bound * (100 + percent) >= percent * (low_a[k] + least)))

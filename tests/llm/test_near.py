@@ -59,6 +59,24 @@ def test_join_equals_every_pair(spark, k, percent, monkeypatch):
     assert got == brute_join(rows, k, percent)
 
 
+@pytest.mark.parametrize("larger_first", [True, False])
+def test_trees_find_truncated_copies(larger_first):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    large = np.array([rng.multinomial(100, [1 / 12] * 12) for _ in range(3)]).repeat(20, axis=0)  # 20 at a place, so that boxes are tight
+    small = large.copy()
+    for f in range(0, 60, 20):
+        for _ in range(20):
+            small[f : f + 20, rng.choice(np.flatnonzero(small[f]))] -= 1
+    a, b = (large, small) if larger_first else (small, large)
+    n = lambda x: x.sum(axis=1).astype(np.int64)
+    i, j, _ = ngram_join.tree_pairs(a, n(a), b, n(b), 80)
+    common = np.minimum(a[:, None], b[None]).sum(axis=2)
+    want = np.nonzero(180 * common >= 80 * (n(a)[:, None] + n(b)[None]))
+    assert len(want[0]) >= 60 and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in want), strict=True))
+
+
 def test_join_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.op8_ngram_join(spark, sf).collect()}
