@@ -234,6 +234,25 @@ def test_losses_equal_a_plain_model(spark):
         assert got[i]["n_tokens"] == len(pairs(t))
 
 
+def test_losses_of_more_words_than_slots(spark):
+    import math
+
+    r = random.Random(6)
+    texts = {i: [f"v{r.randrange(400_000)}" for _ in range(20_000)] for i in range(30)}
+    texts[30] = [*texts[3][:9_000], *texts[8][50:5_000]]
+    good = {3, 5, 30}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in lm_scoring.score(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    pairs = {i: list(zip([None, *w], w, strict=False)) for i, w in texts.items()}
+    size = max(lm_scoring.WORD_SLOTS, len({x for w in texts.values() for x in w}))
+    for i in (0, 3, 30):
+        for name, ids in (("background_loss", set(texts)), ("target_loss", good)):
+            counted = [p for k in ids - {i} for p in pairs[k]]
+            w, h, p = Counter(x for _, x in counted), Counter(x for x, _ in counted), Counter(counted)
+            loss = -sum(math.log((p[a, b] + lm_scoring.PRIOR * (w[b] + 0.5) / (len(counted) + 0.5 * size)) / (h[a] + lm_scoring.PRIOR)) for a, b in pairs[i])
+            assert got[i][name] == pytest.approx(loss / len(pairs[i]), rel=1e-6)
+
+
 def test_losses_odd_rows(spark, odd, none):
     ids = spark.createDataFrame([(4,), (None,), (4,)], "doc_id long")
     assert lm_scoring.score(odd, ids).count() == odd.count()
