@@ -1,8 +1,8 @@
 """Line dedup: explode normalised lines, hash them, count the documents of each hash, drop the lines over
 the threshold and put the rest together by position. DataFrame functions only.
 
-Nothing is collected and no text leaves its row before the last join: the counting shuffle carries 128-bit
-hashes with map-side sums (a line that every document has is one row a task), the hits carry positions, and
+Nothing is collected and no text leaves its row before the last join: the counting shuffles carry 128-bit
+hashes, by line and document first and then with map-side sums by line, the hits carry positions, and
 the text is shuffled once, against the positions of its own document. Rows are told apart by (doc_id, hash
 of the text): equal rows lose equal lines, so repeated rows need no id of their own.
 """
@@ -24,10 +24,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with its columns as they were, text_col without the frequent lines, and n_lines (before dropping)
     and n_dropped, all within struct columns `row` (as given), `kept_text`, `n_lines`, `n_dropped`.
 
-    A line goes if its key has min_chars code points or more and is in min_docs rows or more (each row of
-    the table is a document; a line repeated within one row counts once). A null text is one empty line,
-    whose kept text is empty. An empty table gives an empty table. Further columns, whatever their names,
-    stay inside `row`."""
+    A line goes if its key has min_chars code points or more and is in min_docs documents or more. Rows of one id
+    are one document, and so are the rows without an id, for counting only: each row keeps its own text, and a
+    line repeated within a document counts once. A null text is one empty line, whose kept text is empty. An
+    empty table gives an empty table. Further columns, whatever their names, stay inside `row`."""
     base = docs.select(F.struct("*").alias("row")).select(
         "row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("t")
     )
@@ -35,9 +35,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = lambda key: F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
     keyed = slim.select("id", "th", F.transform("lines", line_key).alias("keys"))
     counts = (
-        keyed.select(F.explode(F.array_distinct(F.filter("keys", lambda k: F.length(k) >= min_chars))).alias("k"))
-        .select(hashes(F.col("k")).alias("h"))
-        .groupBy("h.h1", "h.h2")
+        keyed.select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: F.length(k) >= min_chars))).alias("k"))
+        .select("id", hashes(F.col("k")).alias("h"))
+        .select("id", "h.h1", "h.h2")
+        .distinct()  # dealt by line and document, so that a line that all have is no hot key
+        .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_docs)
         .select("h1", "h2")

@@ -11,12 +11,23 @@ def test_line_dedup_equals_sql(spark, sf, duck):
     support.same(line_dedup.op10_line_dedup(spark, sf), line_dedup.OP10_SQL, duck)
 
 
+def test_line_dedup_counts_documents(spark, duck):
+    rows = [(1, "Often\nx")] * 10 + [(i, "Twice\ny") for i in range(2, 6) for _ in range(3)] + [(i, "all\nz") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).select("row.doc_id", "n_dropped").distinct().collect()
+    duck = duck.cursor()
+    duck.register("repeated", docs.distinct().toPandas())
+    want = duck.sql(line_dedup.OP10_SQL.replace("FROM documents", "FROM repeated")).df()
+    assert {(r["doc_id"], r["n_dropped"]) for r in got} == set(zip(want["doc_id"], want["n_dropped"], strict=True))
+    assert sum(r["n_dropped"] for r in got) == 10
+
+
 def brute_lines(rows, min_docs):
     strip, fold = " \t\n\x0b\x0c\r", {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     key = lambda x: x.strip(strip).translate(fold)
-    seen = Counter(k for t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    seen = Counter(k for k, _ in {(key(x), i) for i, t in rows for x in (t or "").split("\n")} if k)
     out = []
-    for t in rows:
+    for _, t in rows:
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (key(x) and seen[key(x)] >= min_docs)]
         out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
@@ -24,9 +35,9 @@ def brute_lines(rows, min_docs):
 
 
 def test_line_dedup_odd_rows(spark, odd, none):
-    rows = [r["text"] for r in odd.collect()]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = line_dedup.dedup_lines(odd, min_docs=3).select("row.text", "kept_text", "n_lines", "n_dropped").collect()
-    want = Counter((t, *x) for t, x in zip(rows, brute_lines(rows, 3), strict=True))
+    want = Counter((t, *x) for (_, t), x in zip(rows, brute_lines(rows, 3), strict=True))
     assert Counter(tuple(r) for r in got) == want
     assert line_dedup.dedup_lines(none).count() == 0
     assert line_dedup.stage(spark, odd, "").columns == odd.columns
