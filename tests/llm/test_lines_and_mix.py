@@ -19,7 +19,7 @@ def test_line_dedup_counts_documents(spark, duck):
     duck.register("repeated", docs.distinct().toPandas())
     want = duck.sql(line_dedup.OP10_SQL.replace("FROM documents", "FROM repeated")).df()
     assert {(r["doc_id"], r["n_dropped"]) for r in got} == set(zip(want["doc_id"], want["n_dropped"], strict=True))
-    assert sum(r["n_dropped"] for r in got) == 10
+    assert sum(r["n_dropped"] for r in got) == 20
 
 
 def brute_lines(rows, min_docs):

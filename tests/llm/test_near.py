@@ -165,7 +165,8 @@ def leaks(text, items):
     found = set()
     for item_id, t in items:
         own = [w for w in map(decontaminate.normal, W.findall(t or "")) if w]
-        if len(own) < 5:
+        if len(own) < 5:  # as a whole document only
+            found |= {item_id} if own and own == words else set()
             continue
         theirs = grams(own)
         for start in range(-len(own) + 5, len(words)):
@@ -184,8 +185,9 @@ def test_leaks_equal_every_window(spark):
     docs = []
     for i, w in items:
         docs += [say(30) + w + say(10), w, say(5) + w[: len(w) // 2] + say(40), w[:8] + ["new"] + w[8:] + say(12), say(25) + [*w[:10], "CHANGED!", *w[11:]]]
-    docs += [say(60), [], ["one"]]
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (92, "too short"), (93, " ".join(items[0][1]))], "item_id long, text string")
+        docs += [say(20) + w[len(w) // 2 :] + w[: len(w) // 2] + say(9), w[-6:] + w[:-6], say(9) + w[8:20] + w[:8] + w[20:]]  # moved blocks
+    docs += [say(60), [], ["one"], ["too", "short"], ["a", "too", "short"]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (92, "Too short."), (93, " ".join(items[0][1]))], "item_id long, text string")
     df = spark.createDataFrame([(k, " ".join(w).upper() + ".") for k, w in enumerate(docs)], "doc_id long, text string")
     got = {x["row"]["doc_id"]: {h["item_id"] for h in x["hits"]} for x in decontaminate.find_leaks(df, bench).collect()}
     plain = [(x["item_id"], x["text"]) for x in bench.collect()]
@@ -205,13 +207,27 @@ def test_multi_index_has_all_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    b = decontaminate.Benchmark([(i, " ".join(f"t{rng.integers(50)}" for _ in range(20))) for i in range(60)])
+    prints = rng.integers(0, 256, (60, decontaminate.BITS // 8), dtype=np.uint8)
+    asked = []
     for _ in range(50):
-        bits = b.items[rng.integers(60)][4].copy()
-        flip = rng.choice(128, rng.integers(0, 40), replace=False)
-        bits[flip] = ~bits[flip]
-        want = [k for k, x in enumerate(b.items) if (x[4] != bits).sum() <= decontaminate.RADIUS]
-        assert b.near(bits, 20) == want
+        bits = np.unpackbits(prints[rng.integers(60)])
+        bits[rng.choice(decontaminate.BITS, rng.integers(0, 75), replace=False)] ^= 1
+        asked.append(np.packbits(bits))
+    asked = np.stack(asked)
+    x, y = decontaminate.MultiIndex(prints).near(asked)
+    want = np.nonzero(np.bitwise_count(asked[:, None] ^ prints[None]).sum(axis=2) <= decontaminate.RADIUS)
+    assert len(want[0]) > 20 and set(zip(x.tolist(), y.tolist(), strict=True)) == set(zip(*(v.tolist() for v in want), strict=True))
+
+
+def test_leaks_in_several_passes(spark, monkeypatch):
+    items = [(i, " ".join(f"p{i}w{k}" for k in range(20))) for i in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{items[1][1]} and {items[6][1]}"), (1, f"{items[1][1]} and {items[6][1]}"), (2, None), (3, "clean"), (None, items[0][1])], "doc_id long, text string")
+    whole = sorted(str(r) for r in decontaminate.find_leaks(docs, bench).select("row", "hits.item_id").collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert len(decontaminate.parts_of(bench)) > 2
+    got = [(r["row"], r["hits"]) for r in decontaminate.find_leaks(docs, bench).collect()]
+    assert len(got) == 5 and sorted(len(h) for _, h in got) == [0, 0, 1, 2, 2] and len(whole) == 5
 
 
 def test_losses_equal_a_plain_model(spark):
