@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import FOLD, cut, discard, mix64, pieces, table, word_codes, words_of
-from loomgraph.llm.ngram_join import few, release
 
 #: Least vocabulary that the lower order is smoothed over; the distinct words of the corpus if they are more.
 WORD_SLOTS = 1 << 17
@@ -179,7 +178,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ids = cut(target.select(F.col(id_col).alias("tid")).where("tid is not null").distinct(), "lm-target")
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    slim = slim.join(few(ids), slim["id"] == F.col("tid"), "left").select("id", "t", F.col("tid").isNotNull().alias("target"))
+    slim = slim.join(ids, slim["id"] == F.col("tid"), "left").select("id", "t", F.col("tid").isNotNull().alias("target"))
     kind = dict(slim.dtypes)["id"]
     schema = f"chunk long, ids array<{kind}>, docs long, words long, tokens long, target_tokens long, counts binary, target binary, vocabulary binary, codes binary"
     chunks = cut(slim.mapInArrow(_chunks, schema), "lm-chunks")
@@ -189,7 +188,6 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     asked = chunks.drop("ids").mapInArrow(_ask(bits), "range int, chunk long, n long, keys binary, in_all binary, in_target binary")
     answers = cut(asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, n long, new_words long, in_all binary, in_target binary"), "lm-answers")
     discard(ids)
-    release(spark)
     vocabulary = max(WORD_SLOTS, answers.agg(F.sum("new_words")).first()[0] or 0)
 
     def run(chunk, answered):

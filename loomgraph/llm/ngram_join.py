@@ -25,11 +25,9 @@ No step emits the pairs of a group, no set or link is collected, and none of the
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import FOLD, cut, discard, mix64, pieces, table, word_codes, words_of
@@ -42,8 +40,6 @@ AXES, LEAF, BLOCK = 64, 16, 2048
 CROWD = 8
 #: Shingles of a block, about.
 BLOCK_SHINGLES = 1 << 21
-#: A table of so few rows of two numbers is broadcast; beyond that it is joined by a shuffle.
-SMALL = 1_000_000
 #: Each size class reaches to so many times its start.
 WIDTH = 1.25
 
@@ -166,8 +162,8 @@ def _signatures(k: int, percent: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_point(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                    ["id", "n", "node", "point", "keys"],
+                    [part.column("id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_point(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    ["id", "th", "n", "node", "point", "keys"],
                 )
 
     return run
@@ -486,65 +482,60 @@ def _family_links(percent: int):
     return run
 
 
+def dealt(rows: DataFrame, by: str, n: Column) -> DataFrame:
+    """rows (by, node, star...) with blk, i and j: pairs of blocks (i, j) in which every two nodes of different stars of
+    a group meet. Groups with one star go. In a large group the nodes of its largest star meet only the others, so
+    it is linear in that star; n is what a node adds to the shingles of a block."""
+    per = rows.groupBy(by, "star").agg(F.count(F.lit(1)).alias("m"), F.sum(n).alias("s"))
+    whole = per.groupBy(by).agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "star")).alias("top"), F.count(F.lit(1)).alias("stars")).where("stars > 1")
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    one = blocks(F.col("m"), F.col("s")) == 1
+    few = F.when(one, F.lit(1)).otherwise(blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")))
+    whole = whole.select(by, F.when(~one, F.col("top.star")).alias("largest"), few.alias("others"), F.when(one, F.lit(0)).otherwise(blocks(F.col("top.m"), F.col("top.s"))).alias("own"))
+    rows = rows.join(whole, by).withColumn("large", F.coalesce(F.col("star") == F.col("largest"), F.lit(False)))
+    blk = F.when(F.col("large"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    rows = rows.withColumn("blk", blk.cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("large"), F.lit(0)).otherwise(F.col("own")) - 1)))
+    return rows.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "large", "largest", "others", "own")
+
+
 def forests(buckets: DataFrame, points: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that tell families: of every bucket (key, node) with nodes of different stars a forest of the
     pairs whose count vectors allow a link. star: (node, star) of those that have one."""
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = buckets.join(star, "node", "left").select("key", "node", F.coalesce("star", "node").alias("star"))
-    mixed = rows.groupBy("key").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "star").join(points, "node")
+    rows = dealt(buckets.join(star, "node", "left").select("key", "node", F.coalesce("star", "node").alias("star")), "key", F.lit(0)).join(points, "node")
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "blk", "node", "n", "star", "point")
     return rows.mapInArrow(_bucket_forests(percent), "a long, b long").distinct()
 
 
 def family_links(families: DataFrame, points: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links within families (node, root) beyond the verified stars `links` (a, b), as far as they join more."""
-    one = families.withColumnRenamed("root", "family").join(links.select(F.col("a").alias("node"), F.col("b").alias("star")), "node", "left")
-    one = one.withColumn("star", F.coalesce("star", "node")).join(points, "node")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    mixed = one.groupBy("family").agg(blocks.alias("blocks"), F.min("star").alias("lo"), F.max("star").alias("hi")).where("lo <> hi").select("family", "blocks")
-    one = one.join(mixed, "family").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    one = one.join(sets, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = one.select("family", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "n", "star", "point", "set")
+    """Links within families (node, root) beyond the verified stars `links` (a, b), as far as they join more. A node
+    is of the star of its pivot's pivot, so that stars which a link joins are one."""
+    further = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    stars = links.join(further, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("star"))
+    pivots = links.select(F.col("b").alias("node")).distinct().join(links.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("node").alias("star"))
+    one = families.withColumnRenamed("root", "family").join(stars.union(pivots), "node", "left")
+    one = dealt(one.withColumn("star", F.coalesce("star", "node")).join(points, "node"), "family", F.col("n")).join(sets, "node")
+    one = one.select("family", "i", "j", "blk", "node", "n", "star", "point", "set")
     return one.groupBy("family", "i", "j").applyInPandas(_family_links(percent), "a long, b long")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files whose tables were cut, which wait for the collectors otherwise."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small by count; a shuffle join otherwise."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row: the least id that links lead to, links being 100 * overlap >=
-    percent * union of the shingle sets (A-Z in lower case; k words, or the whole of fewer).
-
-    Null and wordless texts have 0 shingles and their own id. A row without an id takes no part: its
-    component_id is null. Repeated rows are one group; an empty table gives an empty one."""
+def _joined(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, th (a hash of its text), n, component_id and root, the hash that tells its component; null without
+    a word. The tables on the way are deleted."""
     spark = docs.sparkSession
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).withColumn("th", F.xxhash64("t"))
     kind = dict(slim.dtypes)["id"]
-    signed_keys = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, n long, node long, point binary, keys array<long>"), "join-signed")
-    members = cut(signed_keys.select("id", "n", "node"), "join-members")
+    signed_keys = cut(slim.mapInArrow(_signatures(k, percent), f"id {kind}, th long, n long, node long, point binary, keys array<long>"), "join-signed")
+    members = cut(signed_keys.select("id", "th", "n", "node"), "join-members")
     points = signed_keys.where("node is not null").select("id", "node", "n", "point")
     reps = cut(members.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).where("id is not null"), "join-reps")
-    chosen = signed_keys.select("id", "node", "keys").join(few(reps), ["id", "node"], "left_semi")
+    chosen = signed_keys.select("id", "node", "keys").join(reps, ["id", "node"], "left_semi")
     keys = chosen.select(F.explode("keys").alias("key"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = cut(keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_bucket_rows, "key long, node long, pivot long, edge boolean"), "join-buckets")
-    points = cut(points.join(few(reps), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "point"), "join-points")
+    points = cut(points.join(reps, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "point"), "join-points")
     discard(signed_keys)
     del keys, chosen
-    release(spark)
 
     # Keys that go on over several ranges may have told some of their nodes as ends only.
     edges = buckets.where("edge").select("key", "node").distinct()
@@ -560,26 +551,44 @@ def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "d
     side = lambda x: points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
     star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "point_a", "point_b")
     star = cut(star.mapInArrow(_allowed(percent), "a long, b long"), "join-star")
+    discard(weighed)
     close = cut(forests(whole, points, star.select(F.col("a").alias("node"), F.col("b").alias("star")), percent), "join-close")
-    release(spark)
+    discard(whole)
     families = components(star.union(close))
+    discard(close)
 
-    wanted = cut(reps.join(families.select("node"), "node", "left_semi"), "join-wanted")
-    texts = slim.join(few(wanted), "id").select("node", "t")
+    wanted = reps.join(families.select("node"), "node", "left_semi")
+    texts = slim.join(wanted, "id").select("node", "t")
     sets = cut(texts.mapInArrow(_sets(k), "node long, set binary"), "join-sets")
     if sets.count() > sets.select("node").distinct().count():  # repeated rows
-        sets = cut(sets.dropDuplicates(["node"]), "join-sets")
+        once = cut(sets.dropDuplicates(["node"]), "join-sets")
+        discard(sets)
+        sets = once
     links = cut(verify(star, sets, percent), "join-links")
-    release(spark)
     more = cut(family_links(families, points, sets, links, percent), "join-links")
-    release(spark)
+    for done in (families, points, sets, star):
+        discard(done)
     roots = components(links.union(more))
     of_node = reps.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_node.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = of_node.join(least, "root").select("node", "component_id")
+    named = of_node.join(least, "root").select("node", "component_id", "root")
     out = members.join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = cut(out.select("id", "th", "n", component.alias("component_id"), "root"), "join-found")
+    for done in (members, reps, links, more, roots):
+        discard(done)
+    return out
+
+
+def join_ngrams(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of every row: the least id that links lead to, links being 100 * overlap >=
+    percent * union of the shingle sets (A-Z in lower case; k words, or the whole of fewer).
+
+    Null and wordless texts have 0 shingles and their own id. A row without an id takes no part: its
+    component_id is null. Repeated rows are one group; an empty table gives an empty one. Further columns,
+    whatever their names, aren't read."""
+    out = _joined(docs, k, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,10 +598,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5 words, 80 %): the one with the least id. Documents without
-    a word have no copies and stay, as do those without an id; of rows with the same id one stays."""
-    found = cut(join_ngrams(docs, k=5, percent=80), "join-found")
-    keep = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(few(cut(keep, "join-keep")), "doc_id", "left_semi").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    a word have no copies and stay, as do those without an id. Of equal rows one stays; different texts under one
+    id are documents of their own."""
+    found = _joined(docs, 5, 80)
+    keep = found.where("root is not null and id is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th")
+    keep = keep.union(found.where("root is null and id is not null").select("id", "th").distinct())
+    keep = cut(keep.select(F.col("id").alias("kept_id"), F.col("th").alias("kept_th")), "join-keep")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (F.col("row.doc_id") == F.col("kept_id")) & (F.xxhash64("row.text") == F.col("kept_th"))
+    kept = rows.join(keep, same, "left_semi")
+    if found.where("id is not null").groupBy("id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("id", F.col("row.doc_id")).withColumn("th", F.xxhash64("row.text")).dropDuplicates(["id", "th"])
+    discard(found)
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))

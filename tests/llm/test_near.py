@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, lm_scoring, ngram_join, suffix_dedup
 
@@ -89,6 +90,8 @@ def test_join_odd_rows(spark, odd, none):
     by = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
     assert (by[1], by[2], by[4], by[5], by[8]) == (1, 2, 4, 4, 4)
     assert ngram_join.join_ngrams(none).count() == 0
+    two = odd.union(odd.where("doc_id = 8").withColumn("text", F.lit("another text of five words or more under a known id")))
+    assert sorted((r["doc_id"] or -1) for r in ngram_join.stage(spark, two, "").collect()) == [-1, -1, 1, 2, 3, 4, 6, 7, 8, 9]
     kept = ngram_join.stage(spark, odd, "")
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 6, 7, 9]
