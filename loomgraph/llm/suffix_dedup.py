@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, discard, mix64, pieces, table
-from loomgraph.llm.ngram_join import few, release
 
 LENGTH, GRAM = 100, 24
 #: Grams of a string, runs of one 24-gram that are refined together.
@@ -305,33 +304,32 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_strings(slim: DataFrame) -> DataFrame:
+def repeated_strings(slim: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc, th, start, count): the count strings of LENGTH bytes from start on in document (doc, th) also start
-    earlier. slim has doc, th (together a document) and t."""
+    earlier; and the tables that this reads. slim has doc, th (together a document) and t."""
     spark = slim.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(slim.mapInArrow(_anchors, "gram long, run long, doc long, th long, at long"), "suffix-runs")
     order = ["gram", "run", "doc", "th", "at"]
     kind = "contested boolean, gram long, doc long, th long, at long"
     judged = cut(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_seen_before, kind), "suffix-judged")
-    release(spark)
     whole = judged.where("not contested").selectExpr("doc", "th", "shiftright(at, 16) as start", "(shiftright(at, 8) & 255) + 1 as count")
 
     discard(found)
     contested = judged.where("contested").select("gram", "doc", "th", "at")
     hot = cut(judged.where("contested").groupBy("gram").count().where(F.col("count") > BLOCK).selectExpr("gram", f"cast(ceil(count / {BLOCK}) as int) as blocks"), "suffix-hot")
-    salted = contested.join(few(hot), "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "th", "at"), F.col("blocks")), F.lit(-1)).cast("int"))
+    salted = contested.join(hot, "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "th", "at"), F.col("blocks")), F.lit(-1)).cast("int"))
     wanted = cut(salted.groupBy("doc", "th").agg(F.collect_set(F.struct("gram", "salt", "at")).alias("wanted")), "suffix-wanted")
     texts = slim.join(wanted, ["doc", "th"]).select("t", "doc", "th", "wanted")
     segments = texts.mapInArrow(_segments, "gram long, salt int, doc long, th long, start long, bytes binary")
     groups = segments.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
     refined = cut(groups.mapInArrow(_sorted_groups, "c1 long, c2 long, doc long, th long, start long, count long, bucket boolean"), "suffix-refined")
-    del texts, segments, groups
-    release(spark)
+    discard(hot)
+    discard(wanted)
     buckets = refined.where("bucket")
     firsts = buckets.groupBy("c1", "c2").agg(F.min(F.struct("doc", "th", "start")).alias("first"))
     late = buckets.join(firsts, ["c1", "c2"]).where("first < struct(doc, th, start)").select("doc", "th", "start", "count")
-    return whole.union(refined.where("not bucket").select("doc", "th", "start", "count")).union(late)
+    return whole.union(refined.where("not bucket").select("doc", "th", "start", "count")).union(late), [judged, refined]
 
 
 def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -339,7 +337,8 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents are ordered by id, a null id before all others; rows with equal ids and texts are one document
     and get equal results, rows with equal ids and other texts are ordered by a hash of the text. A null text
-    is empty, texts under LENGTH bytes lose nothing, an empty table gives an empty one."""
+    is empty, texts under LENGTH bytes lose nothing, an empty table gives an empty one. Further columns, whatever
+    their names, stay inside `row`."""
     row = F.struct(*[docs[c] for c in carry] if carry else ["*"]).alias("row")
     least = F.lit(-(1 << 63)).cast("long")
     ids = docs.select(F.coalesce(docs[id_col].cast("long"), least).alias("doc"))
@@ -349,9 +348,11 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = base.where(F.octet_length("t") >= LENGTH).select("doc", "th", "t")
     if twice:
         slim = slim.dropDuplicates(["doc", "th"])
-    spans = repeated_strings(slim).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    strings, made = repeated_strings(slim)
+    spans = strings.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     spans = cut(spans, "suffix-spans")
-    release(docs.sparkSession)
+    for done in made:
+        discard(done)
     joined = base.join(spans, ["doc", "th"], "left").select("row", "t", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(_removed, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
