@@ -30,25 +30,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """df with the sums of the rows before each one in that order, which must be total. The rows are dealt to tasks by
+    range, and the sums of whole ranges are added to those within one, so no task sorts them all."""
+    dealt = cut(df.select("*", *[c.alias(k) for k, c in sums.items()]).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    offsets = dealt.groupBy("part").agg(*[F.sum(k).alias(f"in_{k}") for k in sums]).select("part", *[F.coalesce(F.sum(f"in_{k}").over(ranges), F.lit(0)).alias(f"to_{k}") for k in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {k: F.coalesce(F.sum(k).over(within), F.lit(0)) for k in sums}
+    out = dealt.select(*[c for c in dealt.columns if c not in sums], *[c.alias(f"own_{k}") for k, c in own.items()]).join(offsets, "part")
+    return out.select(*df.columns, *[(F.col(f"own_{k}") + F.col(f"to_{k}")).alias(k) for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST) -> DataFrame:
     """source, n_docs, source_size, target, from rows (source, size). Sources by code point, null last, get
     the weights in turn; the targets share all sizes by weight, none over `most` times its source's size:
     what is cut off goes to the others by weight, until none is above. The level at which that ends is found
     in one pass over the sources sorted by size per weight (those that are capped come first)."""
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    per = per.withColumn("at", F.row_number().over(by_ratio)).withColumn("level", level)
-    first_open = F.min(F.when(F.col("level") * F.col("w") < F.col("most"), F.struct("at", "level"))).over(everything)
-    final = F.coalesce(first_open["level"], F.lit(0.0))
-    return per.withColumn("final", final).select(
-        "source", "n_docs", F.col("source_size").cast("long").alias("source_size"), F.least("most", F.col("final") * F.col("w")).alias("target")
-    )
+    by_name = [F.col("source").isNull(), F.col("source")]
+    per = running(per, by_name, {"place": F.lit(1).cast("long")}, "mix-sources")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(most))).drop("place")
+    per = cut(running(per, [F.col("most") / F.col("w"), *by_name], {"most_before": F.col("most"), "w_before": F.col("w")}, "mix-levels"), "mix-levels")
+    whole = per.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(float(whole[0] or 0)) - F.col("most_before")) / (F.lit(float(whole[1] or 1)) - F.col("w_before"))
+    first = per.withColumn("level", level).where(F.col("level") * F.col("w") < F.col("most"))
+    final = first.agg(F.min(F.struct(F.col("most") / F.col("w"), F.col("source").isNull(), "source", "level"))["level"]).first()[0]
+    return per.select("source", "n_docs", F.col("source_size").cast("long").alias("source_size"), F.least("most", F.lit(float(final or 0.0)) * F.col("w")).alias("target"))
 
 
 def _chance(*parts: Column | str, seed: int) -> Column:
@@ -63,7 +72,7 @@ def _bind(value: Column, then):
 
 def _pair(first: Column, second: Column, seed: int) -> Column:
     """struct(done, rest): one of the two documents with a whole share, the other with what is left."""
-    share = lambda d, p: F.struct(d["k"].alias("k"), d["h"].alias("h"), d["id"].alias("id"), d["size"].alias("size"), p.alias("p"))
+    share = lambda d, p: F.struct(*[d[c].alias(c) for c in ("k", "h", "id", "size", "times", "extra")], p.alias("p"))
     step = F.struct(first.alias("a"), second.alias("b"), (second["size"] / first["size"]).alias("r"))
 
     def move(x: Column) -> Column:
@@ -100,23 +109,28 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
     """Rows (id, source, size) with source_size, target and copies (long): how often the mix takes the row.
 
     Nulls: a null id is an id like others, a null source a source of its own, last; a null size is 0. Rows
-    of size 0 carry nothing and get the whole part of their copies. Rows with equal ids are told apart by
-    their place only and dealt alike, so they should not be millions. An empty table gives an empty one."""
-    slim = cut(sizes.select("id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    targets = cut(source_targets(slim, weights, most).coalesce(1), "mix-targets")
+    of size 0 carry nothing and get the whole part of their copies. Equal rows are one counted group: the whole
+    part of their fractions is given to as many of them, the residual takes part in the pairing, so however many
+    rows share an id, they are one item there. An empty table gives an empty one."""
+    slim = sizes.select("id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    slim = cut(slim.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("times")), "mix-sizes")
+    targets = cut(source_targets(slim.select("source", (F.col("size") * F.col("times")).alias("size")), weights, most), "mix-targets")
     t = targets.select(F.col("source").alias("t_source"), "n_docs", "source_size", "target")
     rows = slim.join(t, slim["source"].eqNullSafe(t["t_source"]), "left").drop("t_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
+    rows = rows.withColumn("extra", F.floor(F.col("p") * F.col("times"))).withColumn("p", F.col("p") * F.col("times") - F.col("extra"))
     keep = ["source", "source_size", "target", "whole"]
+    own = ["id", "size", "times", "extra"]
     fractional = (F.col("size") > 0) & (F.col("p") > 0)
-    settled = [rows.where(~fractional).select("id", "size", *keep, F.lit(0.0).alias("p"))]
+    lone = F.when(F.col("size") > 0, F.col("extra")).otherwise(F.lit(0)).cast("long")
+    settled = [rows.where(~fractional).select("id", "size", "times", lone.alias("extra"), *keep, F.lit(0.0).alias("p"))]
 
-    item_type = f"struct<k:bigint,h:bigint,id:{dict(slim.dtypes)['id']},size:bigint,p:double>"
+    item_type = f"struct<k:bigint,h:bigint,id:{dict(slim.dtypes)['id']},size:bigint,times:bigint,extra:bigint,p:double>"
     blocks = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1)).cast("long")
     level = rows.where(fractional).select(
-        *keep, blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(seed), "id"), blocks).alias("block"),
-        F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed + 1), "id", "size").alias("h"), "id", "size", "p").cast(item_type).alias("item"),
+        *keep, blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit(seed), "id", "size"), blocks).alias("block"),
+        F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed + 1), "id", "size").alias("h"), *own, "p").cast(item_type).alias("item"),
     )
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
     left = max(1, -(-most_docs // block))
@@ -127,18 +141,20 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
             .select(*keep, "blocks", "block", _fold(F.col("items"), item_type, seed + 2).alias("f")),
             "mix-level",
         )
-        settled.append(folded.select(*keep, F.explode("f.done").alias("d")).select("d.id", "d.size", *keep, "d.p"))
+        settled.append(folded.select(*keep, F.explode("f.done").alias("d")).select(*[f"d.{c}" for c in own], *keep, "d.p"))
         if left == 1:
             break
         left = -(-left // block)
         fewer = F.greatest(F.ceil(F.col("blocks") / block), F.lit(1)).cast("long")
         level = folded.select(*keep, fewer.alias("blocks"), F.pmod(F.xxhash64(F.lit(seed), "block"), fewer).alias("block"), F.col("f.rest").alias("item"))
     last = folded.select(*keep, F.col("f.rest").alias("d"))
-    settled.append(last.select("d.id", "d.size", *keep, (F.col("d.p") >= 0.5).cast("double").alias("p")))
-    out = settled[0].select("id", "size", *keep, "p")
+    settled.append(last.select(*[f"d.{c}" for c in own], *keep, (F.col("d.p") >= 0.5).cast("double").alias("p")))
+    out = settled[0].select(*own, *keep, "p")
     for part in settled[1:]:
         out = out.unionByName(part)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).cast("long").alias("copies"))
+    # Of equal rows, the first `more` are taken once more than the others.
+    out = out.withColumn("more", F.col("extra") + F.round("p").cast("long")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("nth") <= F.col("more")).cast("long")).cast("long").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:

@@ -99,6 +99,17 @@ def test_mix_rounds_by_blocks(spark):
     assert {r["copies"] for r in s} <= {int(rate), int(rate) + 1}
 
 
+def test_equal_rows_are_one_group(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("id"), F.lit("s").alias("source"), F.lit(7).alias("size"))
+    df = df.union(spark.range(40).select(F.col("id"), F.lit("t"), F.lit(1000)))
+    got = mixing.mix(df, block=8).collect()
+    assert len(got) == 5040
+    for s, size in (("s", 7), ("t", 1000)):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * size for r in own) - own[0]["target"]) <= size / 2 + 1e-6
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+
+
 def test_mix_odd_rows(odd, none):
     got = mixing.mix_documents(odd).collect()
     assert len(got) == odd.count()
