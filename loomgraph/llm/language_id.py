@@ -11,15 +11,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import pieces, table
-from loomgraph.llm.subwords import averages, bags
+from loomgraph.llm.subwords import averages, bagged
 
 LENGTHS, BUCKETS = (1, 2, 3), 1 << 15
-#: The most documents that the machines are fitted on.
-SAMPLE = 3000
+#: The most documents that the machines are fitted on, and the least number of each language.
+SAMPLE, LEAST = 5000, 50
 # Families by ISO 639-1 code; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "nb", "nl", "nn", "no", "sv"),
@@ -54,9 +54,9 @@ def svm(rows, signs, epochs: int = 6, rate: float = 4.0, decay: float = 1e-6, se
     return w
 
 
-def fit(texts: list[str], langs: list[str], **options):
-    """The pairs of families and of languages within a family, each with its machine."""
-    rows = bags(texts, LENGTHS, BUCKETS, fold=True)
+def fit(rows: list[tuple], langs: list[str], **options):
+    """The pairs of families and of languages within a family, each with its machine, from the bags (buckets,
+    weights) of documents."""
     rows = [(ids[ids < BUCKETS], weights[ids < BUCKETS]) for ids, weights in rows]
     fams = [family(x) for x in langs]
     model = {"families": {f: sorted({x for x in set(langs) if family(x) == f}) for f in sorted(set(fams))}, "machines": {}}
@@ -121,23 +121,31 @@ def predict(texts: list[str | None], model):
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, lang) of at most `sample` documents with a language that aren't held out."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return own.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """(doc_id, text, lang) of at most `sample` documents that aren't held out, about as many of each language, LEAST at
+    least: those whose ids have the smallest hashes (nearly always; a language may lack a few of its share). Ids
+    are chosen first, so that only the sample's texts travel."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    ids = known.select("doc_id", "lang")
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = max(LEAST, sample // max(1, counts.count()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
+    # Few more than the share are left of a language, however many it has, before they are ranked.
+    near = ids.join(counts, "lang").where(place * F.col("n") < 2 * share + 20).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id").distinct()
+    # About `sample` ids: a size that is known beforehand.
+    return known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE):
-    """The ids are chosen first, so that only the sample's texts travel."""
-    ids = training_rows(docs, sample).select("doc_id")
-    chosen = ids.distinct()  # at most `sample` ids: a size that is known beforehand
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    got = rows.toPandas().sort_values(["doc_id", "lang", "text"])
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    rows = bagged(training_rows(docs, sample), "lang", LENGTHS, BUCKETS, fold=True)
+    return fit([(ids, weights) for _, ids, weights in rows], [lang for lang, _, _ in rows])
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score. Null, empty and letterless texts are `und` with score 0, as is every text
-    when nothing was learned; repeated rows get equal answers; other columns are not read."""
+    when nothing was learned; repeated rows get equal answers; other columns are not read. Of languages with as
+    many duels won the one with the larger margins is told, then the first by name."""
 
     def run(batches):
         import pyarrow as pa

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm.common import mix64, word_codes, words_of
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.llm.common import mix64, pieces, word_codes, words_of
 
 #: Texts that bags() takes at a time.
 STEP = 200
@@ -83,6 +86,26 @@ def bags(texts: list[str | None], lengths: tuple[int, ...], buckets: int, fold:
     return out
 
 
+def bagged(rows: DataFrame, tag: str, lengths: tuple[int, ...], buckets: int, fold: bool):
+    """[(tag, buckets, weights)] of rows (doc_id, text, tag) in order of id and tag: the tasks make the bags, so that
+    the driver holds no text. Of several texts under one id the one with the least hash counts."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                own = bags(part.column("text").to_pylist(), lengths, buckets, fold)
+                blobs = (pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(tag), *blobs], ["doc_id", tag, "ids", "weights"])
+
+    once = rows.groupBy("doc_id", tag).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kinds = dict(rows.dtypes)
+    made = once.mapInArrow(run, f"doc_id {kinds['doc_id']}, {tag} {kinds[tag]}, ids binary, weights binary").orderBy("doc_id", tag)
+    return [(r[tag], np.frombuffer(r["ids"], dtype=np.int32), np.frombuffer(r["weights"], dtype=np.float32)) for r in made.toLocalIterator()]
+
+
 def averages(texts: list[str | None], tables, lengths: tuple[int, ...], fold: bool):
     """The matrix [text, column] of the same averages applied to tables [bucket, column], whose last row is the
     repeats': what bags(texts) @

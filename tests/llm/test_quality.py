@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from loomgraph.llm import html_text, language_id, quality_classifier, quality_rules
+from loomgraph.llm import html_text, language_id, quality_classifier, quality_rules, subwords
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,8 +83,24 @@ def test_language_on_held_out_rows(spark):
     assert m["score"].between(0, 1).all()
 
 
+def bag(texts):
+    return subwords.bags(texts, language_id.LENGTHS, language_id.BUCKETS, True)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the {i} and of", "en") for i in range(3000)] + [(5000 + i, f"der {i} und", "de") for i in range(30)]
+    got = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200).toPandas()
+    assert (got["lang"] == "de").sum() >= 15 and 90 <= (got["lang"] == "en").sum() <= 100
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in got["doc_id"])
+
+
+def test_clashing_labels_are_not_learned(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (9, 0), (3, 1)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in quality_classifier.training_rows(odd, labels).collect()} <= {9, 3}
+
+
 def test_language_odd_rows(odd, none, spark):
-    model = language_id.fit(["the and of is", "der die und ist", "le la et est", "el los y es"] * 5, ["en", "de", "fr", "es"] * 5)
+    model = language_id.fit(bag(["the and of is", "der die und ist", "le la et est", "el los y es"] * 5), ["en", "de", "fr", "es"] * 5)
     assert set(model["families"]) == {"germanic", "romance"}
     rows = language_id.identify(odd, model).collect()
     assert len(rows) == odd.count()
@@ -92,7 +108,7 @@ def test_language_odd_rows(odd, none, spark):
     assert language_id.identify(none, model).count() == 0
     nothing = language_id.train(none)
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
-    assert language_id.predict(["words"], language_id.fit(["a b"], ["xx"]))[0].tolist() == ["xx"]
+    assert language_id.predict(["words"], language_id.fit(bag(["a b"]), ["xx"]))[0].tolist() == ["xx"]
 
 
 P = "word " * 40
