@@ -110,6 +110,46 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *[c for c in out.columns if c != "row"])
 
 
+def _sql() -> str:
+    """The same by windows over words: a gram is a repeat if the document has had it before."""
+    grams, joins = [], []
+    for k in LIMITS:
+        grams.append(f"""
+g{k} AS (SELECT doc_id, i, array_to_string(ws[i:i + {k - 1}], ' ') AS g FROM words WHERE i + {k - 1} <= n_words),
+r{k} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1 AS again, count(*) OVER (PARTITION BY doc_id, g) > 1 AS often FROM g{k}),
+p{k} AS (
+  SELECT words.doc_id, length(ws[words.i]) AS size, coalesce(bool_or(again) OVER near, false) AS inside, coalesce(bool_or(often) OVER near, false) AS any_inside
+  FROM words LEFT JOIN r{k} ON words.doc_id = r{k}.doc_id AND words.i = r{k}.i
+  WINDOW near AS (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)),
+c{k} AS (SELECT doc_id, sum(size) FILTER (WHERE inside) AS chars, count(*) FILTER (WHERE any_inside) AS repeat_words FROM p{k} GROUP BY doc_id)""")
+        joins.append(f"LEFT JOIN c{k} USING (doc_id)")
+    shares = ", ".join(f"coalesce(c{k}.chars, 0) / greatest(word_chars, 1)::DOUBLE AS coverage_{k}" for k in LIMITS)
+    fine = " AND ".join(f"coverage_{k} <= {most}" for k, most in LIMITS.items())
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+base AS (
+  SELECT doc_id, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM texts),
+words AS (SELECT doc_id, ws, n_words, unnest(range(1, n_words + 1)) AS i FROM base),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM texts),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM split WHERE regexp_matches(line, '{word}')),
+dups AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS dup_chars FROM lines WHERE again GROUP BY doc_id),
+{",".join(grams)},
+judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c3.repeat_words, 0) AS n_repeat_words,
+         coalesce(dup_chars, 0) / greatest(word_chars, 1)::DOUBLE AS dup_line_share, {shares}
+  FROM base LEFT JOIN dups USING (doc_id) {" ".join(joins)})
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND dup_line_share <= {LINE_LIMIT} AND {fine} AS kept
+FROM judged
+"""
+
+
+OP3_SQL = _sql()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
     return judge(docs).where("kept").select("row.*")

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_quality_rules": quality_rules.OP3_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
