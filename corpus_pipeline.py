@@ -1,5 +1,10 @@
 """A corpus pipeline over `documents`: rules, lines, near copies, leaks, mix. Each stage is written as Parquet
-and read again as the next one's documents; all but the last keep the columns of `documents`."""
+and read again as the next one's documents; all but the last keep the columns of `documents`.
+
+Null, empty and wordless texts fail the rules of the first stage and go. Of equal rows, and of near copies, the one
+with the least id stays; documents without an id pass the near-copy stage as they are. Different texts under one id are
+documents of their own. Further columns, whatever their names, are kept up to the mix; an empty table gives an empty
+mix. What is random or a tie is settled by hashes of ids, so reruns agree."""
 
 from __future__ import annotations
 

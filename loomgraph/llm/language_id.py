@@ -14,12 +14,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import pieces, table
+from loomgraph.llm.common import cut, pieces, table
 from loomgraph.llm.subwords import averages, bagged
 
 LENGTHS, BUCKETS = (1, 2, 3), 1 << 15
 #: The most documents that the machines are fitted on, and the least number of each language.
 SAMPLE, LEAST = 5000, 50
+#: So many languages with their counts are broadcast.
+FEW = 10_000
 # Families by ISO 639-1 code; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "nb", "nl", "nn", "no", "sv"),
@@ -126,8 +128,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     are chosen first, so that only the sample's texts travel."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     ids = known.select("doc_id", "lang")
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = max(LEAST, sample // max(1, counts.count()))
+    counts = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    languages = counts.count()
+    share = max(LEAST, sample // max(1, languages))
+    if languages <= FEW:  # so that the documents of a frequent language don't meet in one task
+        counts = F.broadcast(counts)
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
     # Few more than the share are left of a language, however many it has, before they are ranked.
     near = ids.join(counts, "lang").where(place * F.col("n") < 2 * share + 20).select("doc_id", "lang").distinct()
