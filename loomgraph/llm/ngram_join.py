@@ -557,7 +557,7 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_
     families = components(star.union(close))
     discard(close)
 
-    wanted = reps.join(families.select("node"), "node", "left_semi")
+    wanted = cut(reps.join(families.select("node"), "node", "left_semi"), "join-wanted")  # a table, so that its size is known
     texts = slim.join(wanted, "id").select("node", "t")
     sets = cut(texts.mapInArrow(_sets(k), "node long, set binary"), "join-sets")
     if sets.count() > sets.select("node").distinct().count():  # repeated rows
@@ -566,7 +566,7 @@ def _joined(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_
         sets = once
     links = cut(verify(star, sets, percent), "join-links")
     more = cut(family_links(families, points, sets, links, percent), "join-links")
-    for done in (families, points, sets, star):
+    for done in (families, points, sets, star, wanted):
         discard(done)
     roots = components(links.union(more))
     of_node = reps.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
