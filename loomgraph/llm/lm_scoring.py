@@ -178,7 +178,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ids = cut(target.select(F.col(id_col).alias("tid")).where("tid is not null").distinct(), "lm-target")
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    slim = slim.join(ids, slim["id"] == F.col("tid"), "left").select("id", "t", F.col("tid").isNotNull().alias("target"))
+    # The ids grow with the corpus, so they are never broadcast; rows without an id can't be the target's and don't meet.
+    known = slim.where("id is not null").join(ids.hint("merge"), F.col("id") == F.col("tid"), "left")
+    slim = known.select("id", "t", F.col("tid").isNotNull().alias("target")).union(slim.where("id is null").select("id", "t", F.lit(False)))
     kind = dict(slim.dtypes)["id"]
     schema = f"chunk long, ids array<{kind}>, docs long, words long, tokens long, target_tokens long, counts binary, target binary, vocabulary binary, codes binary"
     chunks = cut(slim.mapInArrow(_chunks, schema), "lm-chunks")
