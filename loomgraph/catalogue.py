@@ -219,7 +219,8 @@ def symbol_resolution(spark, sf_dir):
 
 @query("graph_fingerprint", f"""WITH {_E}, {_N}, h AS (SELECT sha256(concat_ws(chr(31), 'n', id, kind, name, '{{}}')) AS h FROM n
   UNION ALL SELECT sha256(concat_ws(chr(31), 'e', src, dst, kind, '{{}}', file, line, col)) FROM e),
- p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM p""")
+ p AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1),
+ q AS (SELECT substr(p, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM p GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM q""")
 def graph_fingerprint(spark, sf_dir):
     g = as_graph_rows(star_graph(spark, sf_dir))
     return answers.fingerprint(g.nodes, g.edges)
@@ -242,19 +243,29 @@ def pagerank40(spark, sf_dir):
     return analytics.pagerank(ids, pairs).select("id", F.round("rank", 9).alias("rank"))
 
 
-_PAIRS = "p AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND year(l_shipdate) = 1998), u AS (SELECT src AS a, dst AS b FROM p UNION SELECT dst, src FROM p)"
+_PAIRS = "p AS (SELECT DISTINCT 'part:' || l_partkey AS a, 'supplier:' || l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p)"
 
 
-@query("communities", f"""WITH RECURSIVE {_PAIRS}, r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.x), c AS (SELECT id, min(x) AS root FROM r GROUP BY id)
- SELECT 'community:' || root AS community, count(*) AS size, (SELECT count(*) FROM p JOIN c d ON d.id = p.src WHERE d.root = c.root) AS cohesion FROM c GROUP BY root""")
+@query("communities", f"""WITH RECURSIVE {_PAIRS}, r(id, root, k) AS (SELECT DISTINCT a, a, 0 FROM u UNION ALL
+  SELECT id, nxt, k + 1 FROM (SELECT r.id, r.k, least(r.root, m.root) AS nxt, bool_or(m.root < r.root) OVER () AS moved
+   FROM r JOIN (SELECT u.a AS id, min(r.root) AS root FROM u JOIN r ON r.id = u.b GROUP BY u.a) m ON m.id = r.id) WHERE moved),
+ c AS (SELECT id, root FROM r WHERE k = (SELECT max(k) FROM r))
+ SELECT 'community:' || root AS community, count(*) AS size, (SELECT count(*) FROM p JOIN c d ON d.id = p.a WHERE d.root = c.root) AS cohesion FROM c GROUP BY root""")
 def communities(spark, sf_dir):
-    pairs = part_supplier_pairs(spark, sf_dir, narrow=True)
+    pairs = part_supplier_pairs(spark, sf_dir)
     return analytics.communities(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")), pairs)
 
 
-@query("kcore2")
-def kcore2(spark, sf_dir):
-    return analytics.k_core(part_supplier_pairs(spark, sf_dir, narrow=True), 2)
+CORE = 30
+
+
+@query("kcore", f"""WITH RECURSIVE {_PAIRS}, r(a, b, k) AS (SELECT a, b, 0 FROM p UNION ALL
+  SELECT a, b, k + 1 FROM (SELECT *, bool_or(n < {CORE} OR m < {CORE}) OVER () AS weak FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM r))
+  WHERE weak AND n >= {CORE} AND m >= {CORE}),
+ z AS (SELECT *, count(*) OVER (PARTITION BY a) AS n, count(*) OVER (PARTITION BY b) AS m FROM r WHERE k = (SELECT max(k) FROM r))
+ SELECT a, b FROM z WHERE (SELECT min(least(n, m)) FROM z) >= {CORE}""")
+def kcore(spark, sf_dir):
+    return analytics.k_core(part_supplier_pairs(spark, sf_dir), CORE)
 
 
 @query("module_coupling", """SELECT 'module:' || c_nationkey AS src, 'module:' || s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey
@@ -323,17 +334,22 @@ def token_stats(spark, sf_dir):
 
 @query("doc_frequency", f"WITH {_TOKENS.format(id='doc_id', text='text', table='documents')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM post GROUP BY term")
 def doc_frequency(spark, sf_dir):
-    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return retrieval.term_counts(table(spark, sf_dir, "documents"))
 
 
 QUESTIONS = [(1, "which thing reads the Nation and onth table"), (2, "who changes erth inger"), (3, "Wie ist die schau der lich"), (4, "le tionon de la eauier")]
 
 
-def _bm25_sql() -> str:
-    from collections import Counter
+def _asked_sql() -> str:
+    """q(qid, term, mult): the questions' terms, which SQL makes for itself."""
+    asked = ", ".join(f"({q}, '{s}')" for q, s in QUESTIONS)
+    words = ", ".join(f"'{w}'" for w in X.QUESTION_WORDS)
+    own = _TOKENS.format(id="qid", text="question", table=f"(VALUES {asked}) AS asked(qid, question)")
+    return f"q AS (WITH {own} SELECT id AS qid, term, tf AS mult FROM post WHERE term NOT IN ({words}))"
+
 
-    asked = ", ".join(f"({q}, '{t}', {n})" for q, s in QUESTIONS for t, n in Counter(X.query_terms(s)).items())
-    return f"""WITH {_TOKENS.format(id='doc_id', text='text', table='documents')}, q(qid, term, mult) AS (VALUES {asked}),
+def _bm25_sql() -> str:
+    return f"""WITH {_asked_sql()}, {_TOKENS.format(id='doc_id', text='text', table='documents')},
  s AS (SELECT count(*) AS n, avg(length) AS al FROM lens), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
  sc AS (SELECT qid, id, sum(mult * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / al))) AS score
   FROM q JOIN post USING (term) JOIN df USING (term) JOIN lens USING (id) CROSS JOIN s GROUP BY qid, id)
@@ -389,10 +405,14 @@ def sql_tables(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.sql_tables(s), ",").alias("tables"))
 
 
-@query("placeholders", r"SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE 'app.' || event_type END AS key FROM events")
+#: Values of properties and the keys that they name: with and without a default, nested, blank, open, malformed.
+PLACEHOLDERS = (("${app.%s:1}", "app.%s"), ("${app.%s}", "app.%s"), ("plain %s", None), ("${}", None), ("a ${ x.%s : y} ${z}", "x.%s"), ("${%s", None), ("${out.${in.%s}:d}", "out.${in.%s"), ("${:%s}", None), ("$%s}", None))
+
+
+@query("placeholders", "SELECT event_id, CASE " + " ".join(f"WHEN event_id % {len(PLACEHOLDERS)} = {i} THEN " + (f"replace('{k}', '%s', event_type)" if k else "NULL") for i, (_, k) in enumerate(PLACEHOLDERS)) + " END AS key FROM events")
 def placeholders(spark, sf_dir):
-    value = F.when(F.col("event_type") == "error", F.lit("plain")).otherwise(F.concat(F.lit("${app."), "event_type", F.lit(":"), "value", F.lit("}")))
-    return table(spark, sf_dir, "events").select("event_id", X.placeholder(value).alias("key"))
+    form = F.element_at(F.array(*[F.lit(v) for v, _ in PLACEHOLDERS]), (F.col("event_id") % len(PLACEHOLDERS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.placeholder(F.replace(form, F.lit("%s"), F.col("event_type"))).alias("key"))
 
 
 @query("camel_words", r"SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name || 'Of' || c_mktsegment || 'x', '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'))) AS words FROM customer")
@@ -527,11 +547,8 @@ def bucket_fanout(spark, sf_dir):
 
 
 def _subtree_sql() -> str:
-    from collections import Counter
-
-    asked = ", ".join(f"({q}, '{t}', {n})" for q, s in QUESTIONS for t, n in Counter(X.query_terms(s)).items())
     cards = "(SELECT 'doc:' || doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'source:' || coalesce(source, ''), 'source:' || coalesce(source, '') FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'root', 'all sources') AS cards"
-    return f"""WITH {_TOKENS.format(id='id', text='text', table=cards)}, q(qid, term, mult) AS (VALUES {asked}),
+    return f"""WITH {_asked_sql()}, {_TOKENS.format(id='id', text='text', table=cards)},
  up AS (SELECT id, id AS anc FROM lens UNION SELECT 'doc:' || doc_id, 'source:' || coalesce(source, '') FROM documents WHERE text IS NOT NULL UNION SELECT id, 'root' FROM lens),
  ln AS (SELECT anc, sum(length) AS length FROM up JOIN lens USING (id) GROUP BY anc), st AS (SELECT count(*) AS n, greatest(avg(length), 1) AS al FROM ln),
  df AS (SELECT term, count(*) AS df FROM post GROUP BY term), pl AS (SELECT anc, term, sum(tf) AS tf FROM post JOIN up USING (id) GROUP BY ALL)

@@ -17,7 +17,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(ids: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85) -> DataFrame:
     """(id, rank): a fixed number of rounds from 1/N; parallel edges weigh as often as they stand; the rank of
     nodes without out-edges is spread over all. Edges are collapsed to weights once and kept by source, so a
-    round shuffles one row a distinct edge's target at most; each round is written, which bounds the plan."""
+    round shuffles one row a distinct edge's target at most. Each round is written: its size is known, so ranks are
+    broadcast to the edges while they are small, and the plan stays one round long."""
     n = ids.distinct().count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank")).limit(0)
@@ -26,16 +27,11 @@ def pagerank(ids: DataFrame, edges: DataFrame, iterations: int = 40, damping: fl
     shares = cut(weights.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")), "rank-edges")
     sources = cut(ids.distinct().join(total.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.coalesce("gives", F.lit(False)).alias("gives")), "rank-ids")
     ranks = sources.select("id", "gives", F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
-        sink = ranks.where("not gives").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("sink"))
-        got = ranks.join(shares, ranks["id"] == shares["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = (
-            sources.join(got, sources["id"] == got["dst"], "left")
-            .crossJoin(F.broadcast(sink))  # one row
-            .select("id", "gives", ((1 - damping + damping * F.col("sink")) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        )
-        if i % 4 == 3 or i == iterations - 1:
-            ranks = cut(ranks, "rank")
+    for _ in range(iterations):
+        sink = ranks.where("not gives").agg(F.sum("rank")).first()[0] or 0.0
+        got = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        level = (1 - damping + damping * sink) / n
+        ranks = cut(sources.join(got, sources["id"] == got["dst"], "left").select("id", "gives", (level + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
     return ranks.select("id", "rank")
 
 

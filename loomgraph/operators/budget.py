@@ -11,21 +11,31 @@ DIGEST_BUDGET = 240
 
 def knapsack(items: DataFrame, budget: int, group: str | None = None) -> DataFrame:
     """Rows (group, ord, id, cost) with `taken`: in order, an item is taken if it still fits, and skipped, not
-    stopped at, if it doesn't. Sequential by nature: each group is one array folded in the JVM, so groups (a
-    plan's candidates) are to fit a task; the fold itself keeps only the running sum and the verdicts."""
+    stopped at, if it doesn't. Of one cost only the first budget / cost items can ever fit, so no more than those
+    (budget * log(budget) at most, whatever the group has) come to the one task that goes through them in order."""
     keys = [group] if group else []
-    base = items if group else items.withColumn("_g", F.lit(0))
-    keys = keys or ["_g"]
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["cost"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
-
-    listed = base.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "id", F.col("cost").cast("long").alias("cost")))).alias("xs"))
-    folded = listed.withColumn("f", F.aggregate("xs", state, step))
-    out = folded.select(*keys, F.explode(F.arrays_zip(F.col("xs").alias("x"), F.col("f.taken").alias("t"))).alias("z"))
-    return out.select(*([group] if group else []), "z.x.ord", "z.x.id", "z.x.cost", F.col("z.t").alias("taken"))
+    base = items.select(*keys, "ord", "id", F.col("cost").cast("long").alias("cost"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "cost").orderBy("ord", "id"))
+    ranked = base.where(f"cost > 0 and cost <= {budget}").withColumn("_n", nth)
+    able = ranked.where(F.col("_n") * F.col("cost") <= budget).drop("_n")
+    listed = able.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "cost"))).alias("xs"))
+
+    @F.pandas_udf("array<boolean>")
+    def fits(costs: pd.Series) -> pd.Series:
+        def one(xs):
+            out, used = [], 0
+            for x in xs:
+                out.append(bool(used + x <= budget))
+                used += x if out[-1] else 0
+            return out
+
+        return costs.map(one)
+
+    judged = listed.withColumn("t", fits(F.transform("xs", lambda x: x["cost"])))
+    judged = judged.select(*keys, F.explode(F.arrays_zip(F.col("xs").alias("x"), F.col("t").alias("t"))).alias("z")).select(*keys, "z.x.ord", "z.x.id", "z.x.cost", F.col("z.t").alias("taken"))
+    late = ranked.where(F.col("_n") * F.col("cost") > budget).drop("_n").withColumn("taken", F.lit(False))
+    sure = base.where(f"cost <= 0 or cost > {budget} or cost is null").withColumn("taken", F.coalesce(F.col("cost") <= 0, F.lit(False)))
+    return judged.unionByName(late).unionByName(sure)
 
 
 def compress(callers: DataFrame, evidence: DataFrame, fixed: DataFrame, budget: int) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions import vectors as V
+from loomgraph.store import cut
 
 K1, B = 1.2, 0.75
+#: Query vectors that are sent to the tasks at once, about.
+QUERIES = 4096
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -23,25 +26,40 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     )
 
 
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, total): documents that have the term, and how often it stands in all. Both are counted in one pass
+    and summed on the map side, so that what is shuffled grows with the vocabulary of a task, not the texts."""
+    terms = docs.select(X.tokenize(F.col(text_col)).alias("ts"))
+    marked = F.concat("ts", F.transform(F.array_distinct("ts"), lambda t: F.concat(F.lit("+"), t)))
+    counts = terms.select(F.explode(marked).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    once = F.startswith("t", F.lit("+"))
+    return counts.groupBy(F.ltrim("t", F.lit("+")).alias("term")).agg(F.sum(F.when(once, F.col("n"))).alias("df"), F.sum(F.when(~once, F.col("n"))).alias("total"))
+
+
+def asked_terms(spark: SparkSession, questions: list[tuple[int, str]]) -> list[tuple[int, str, int]]:
+    """(question, term, how often) of a stated, small set of questions."""
+    asked = spark.createDataFrame(questions, "qid long, question string").select("qid", F.explode(X.query_terms(F.col("question"))).alias("term"))
+    return sorted((r["qid"], r["term"], r["count"]) for r in asked.groupBy("qid", "term").count().collect())
+
+
 def bm25(docs: DataFrame, questions: list[tuple[int, str]], limit: int | None = 10, prior=None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(qid, id, score, rank): the best documents of each question, ties by id. Questions are a stated, small
-    set: their terms filter the documents' before any shuffle, so only postings of asked terms travel."""
+    set: one pass over the texts keeps a document's length and asked terms, and the rest works on those."""
     spark = docs.sparkSession
-    asked = [(q, t, n) for q, question in questions for t, n in Counter(X.query_terms(question)).items()]
+    asked = asked_terms(spark, questions)
     wanted = spark.createDataFrame(asked or [(0, "", 0)], "qid long, term string, mult long")
-    vocabulary = sorted({t for _, t, _ in asked}) or [""]
-    base = docs.select(F.col(id_col).alias("id"), *([prior.alias("prior")] if prior is not None else [F.lit(1.0).alias("prior")]), X.tokenize(F.col(text_col)).alias("terms"))
-    base = base.withColumn("length", F.size("terms"))
-    stats = base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    hits = base.select("id", "prior", "length", F.explode(F.filter("terms", lambda t: F.array_contains(known, t))).alias("term"))
+    known = F.array(*[F.lit(t) for t in sorted({t for _, t, _ in asked}) or [""]])
+    base = docs.select(F.col(id_col).alias("id"), (prior if prior is not None else F.lit(1.0)).alias("prior"), X.tokenize(F.col(text_col)).alias("terms"))
+    base = base.select("id", "prior", F.size("terms").alias("length"), F.filter("terms", lambda t: F.array_contains(known, t)).alias("terms"))
+    base = cut(base, "bm25")
+    n_docs, avg = base.agg(F.count(F.lit(1)), F.avg("length")).first()
+    hits = base.select("id", "prior", "length", F.explode("terms").alias("term"))
     hits = hits.groupBy("id", "prior", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # stats is one row, df and wanted have a row an asked term: sizes that the questions bound.
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    avg = F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(F.lit(1.0))
-    part = F.col("mult") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg))
+    df = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # df and wanted have a row an asked term: sizes that the questions bound.
+    scored = hits.join(F.broadcast(df.join(wanted, "term")), "term")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("mult") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avg or 1.0))))
     total = scored.groupBy("qid", "id", "prior").agg(F.sum(part).alias("s")).where("s > 0").select("qid", "id", (F.col("s") * F.col("prior")).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     ranked = total.withColumn("rank", F.row_number().over(best))
@@ -68,8 +86,13 @@ def mentions(docs: DataFrame, needle: str, id_col: str = "doc_id", text_col: str
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, test=None) -> DataFrame:
     """(qid, id, similarity, rank) of the k vectors (id, v) most like each query (qid, q): exact, by cosine.
-    The queries are a stated set, sent to the tasks; a query's best k of each task are all that is shuffled
-    thanks to the rank limit on the map side. test: which rows are demoted as test code."""
+    The queries are a stated set, sent to the tasks in blocks of about QUERIES, one pass a block; a query's best k
+    of each task are all that is shuffled thanks to the rank limit on the map side. test: which rows are demoted
+    as test code."""
+    blocks = -(-queries.count() // QUERIES)
+    if blocks > 1:
+        parts = [nearest(vectors, queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, test) for b in range(blocks)]
+        return reduce(DataFrame.union, parts)
     score = V.dot(F.col("u"), F.col("q"))
     both = vectors.withColumn("u", V.unit(F.col("v"))).crossJoin(F.broadcast(queries.select("qid", V.unit(F.col("q")).alias("q"))))
     scored = both.select("qid", "id", (X.demote(score, test) if test is not None else score).alias("similarity"))

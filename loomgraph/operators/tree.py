@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.operators.retrieval import asked_terms
 from loomgraph.store import cut, is_empty
 
 FAN_OUT = 24
@@ -21,17 +20,19 @@ def closure(links: DataFrame) -> DataFrame:
     each round, so a tree of depth d takes log2(d) rounds."""
     direct = links.select(F.col("child").alias("id"), F.col("parent").alias("anc")).distinct()
     ids = direct.select("id").union(direct.select("anc")).distinct()
-    known = cut(direct, "closure")
+    known = new = cut(direct, "closure")
+    up = lambda x: x.select(F.col("id").alias("anc"), F.col("anc").alias("top"))
     while True:
-        further = known.join(known.select(F.col("id").alias("anc"), F.col("anc").alias("top")), "anc").select("id", F.col("top").alias("anc"))
-        new = cut(further.join(known, ["id", "anc"], "left_anti").distinct(), "closure")
+        # Only what the last round found goes on, from either end.
+        further = new.join(up(known), "anc").union(known.join(up(new), "anc")).select("id", F.col("top").alias("anc"))
+        new = cut(further.distinct().join(known, ["id", "anc"], "left_anti"), "closure")
         if is_empty(new):
             return known.union(ids.select("id", F.col("id").alias("anc"))).distinct()
-        known = cut(known.union(new), "closure")
+        known = known.union(new)
 
 
 def depths(links: DataFrame, root: str) -> DataFrame:
-    """(id, depth) below the root: the longest path, as the number of distinct levels above."""
+    """(id, depth) below the root: the links of the shortest path, which in a tree is the only one."""
     from loomgraph.operators.traverse import reach
 
     start = links.sparkSession.createDataFrame([(root, root)], "seed string, id string")
@@ -85,7 +86,7 @@ def subtree_scores(cards_: DataFrame, links: DataFrame, questions: list[tuple[in
     """(qid, id, score): BM25 in which frequencies and lengths are those of a card's whole subtree, while document
     frequency and count are those of single cards. Only asked terms are pooled up the closure."""
     spark = cards_.sparkSession
-    asked = [(q, t, n) for q, s in questions for t, n in Counter(X.query_terms(s)).items()]
+    asked = asked_terms(spark, questions)
     wanted = spark.createDataFrame(asked or [(0, "", 0)], "qid long, term string, mult long")
     known = F.array(*[F.lit(t) for t in sorted({t for _, t, _ in asked}) or [""]])
     up = cut(closure(links), "closure")

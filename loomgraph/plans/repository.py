@@ -51,15 +51,14 @@ def ask(g: Graph, questions: list[tuple[int, str]], limit: int = 10, anchors: in
     """Answers to all questions in one run: plan, anchors, claims and their verdicts. A symbol that a question
     names comes first, then what retrieval finds; every claim is one edge and is verified against the graph."""
     spark = g.spark
-    plans = [(q, *X.plan_of(text)) for q, text in questions]
-    plan = spark.createDataFrame(plans, "qid long, kind string, subject string, depth int")
+    asked = spark.createDataFrame(questions, "qid long, question string")
+    plan = cut(asked.select("qid", X.classify(F.col("question")).alias("p"), X.subject(F.col("question")).alias("subject")).select("qid", "p.kind", "subject", F.coalesce(F.lit(depth), "p.depth").alias("depth")), "plan")
     named = answers.resolve_symbols(g.nodes, plan.where("subject <> ''").select(F.col("subject").alias("query")))
     named = plan.join(named, plan["subject"] == named["query"]).select("qid", "id", F.lit(1).alias("rank"))
     hits = retrieval.search_nodes(g.nodes, questions, limit).join(g.nodes.where("kind not in ('FILE', 'PACKAGE', 'REPOSITORY')").select("id"), "id", "left_semi").select("qid", "id", "rank")
     chosen = cut(answers.plan_anchors([named, hits], anchors), "anchors")
-    seeds = chosen.select(F.col("qid").cast("string").alias("seed"), "id")
-    far = depth or max(d for *_, d in plans)
-    packet = traverse.context(g, seeds, far)
+    seeds = cut(chosen.join(plan.select("qid", F.col("depth").alias("most")), "qid").select(F.col("qid").cast("string").alias("seed"), "id", "most"), "seeds")
+    packet = traverse.context(g, seeds, plan.agg(F.max("depth")).first()[0] or 1)
     evidence = cut(packet["evidence"], "evidence")
     anchor = seeds.select("seed", F.col("id").alias("anchor"))
     claims = cut(answers.claims_from(evidence, anchor), "claims")

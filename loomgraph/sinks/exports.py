@@ -129,10 +129,12 @@ def view(g: Graph, title: str, most: int = VIEW_NODES) -> str:
 
 
 def report(title: str, rows: DataFrame, most: int = 50) -> str:
-    """A text report of the first rows."""
+    """A text report of the first rows, which says how many more there are."""
     lines = [title]
     for r in rows.limit(most).collect():
         lines.append("  " + "  ".join(f"{k}={v}" for k, v in r.asDict().items()))
+    if len(lines) > most and (more := rows.count() - most):
+        lines.append(f"  ... and {more} more")
     return "\n".join(lines) + "\n"
 
 

@@ -67,10 +67,7 @@ def as_graph_rows(g: Graph) -> Graph:
     return Graph(nodes, edges)
 
 
-def part_supplier_pairs(spark: SparkSession, sf_dir: str, narrow: bool = False) -> DataFrame:
-    """(src, dst): supplier and part of every order line; narrow keeps full lines shipped in 1998, which fall
-    apart into components."""
+def part_supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): supplier and part of every order line."""
     lines = table(spark, sf_dir, "lineitem")
-    if narrow:
-        lines = lines.where("l_quantity = 50 AND year(l_shipdate) = 1998")
     return lines.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"))
