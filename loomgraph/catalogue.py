@@ -12,12 +12,10 @@ from loomgraph.functions import text as X
 from loomgraph.functions import vectors as V
 from loomgraph.model import Graph, dedup_edges, owner, scope, upsert_nodes
 from loomgraph.operators import analytics, answers, budget, retrieval, traverse, tree
+from loomgraph.registered import ORACLES, QUERIES, query
 from loomgraph.sources.tables import as_graph_rows, part_supplier_pairs, star_graph, table
 from loomgraph.store import cut
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 # The star graph in SQL; {..} as in sources.tables.
 _E = """
 e AS (
@@ -50,16 +48,6 @@ terms AS (SELECT id, lower(unnest(ts)) AS term FROM toks),
 post AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY ALL)"""
 
 
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "seed string, id string")
 
@@ -589,3 +577,6 @@ def plan_anchors(spark, sf_dir):
     a = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s_acctbal").desc(), "id"))).where("rank <= 2")
     b = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
     return answers.plan_anchors([a, b], 5)
+
+
+from loomgraph import catalogue_answers, catalogue_java  # noqa: E402, F401

@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, answers, architecture, budget, derive, traverse, tree
+from loomgraph.operators import analytics, answers, architecture, budget, derive, navigate, traverse, tree
 from loomgraph.plans import repository
 from loomgraph.sinks import exports
 
@@ -34,6 +34,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--budget", type=int, default=20_000)
     p.add_argument("--limit", type=int, default=40)
     p.add_argument("--anchors", type=int, default=1)
+    p.add_argument("--mode", choices=tuple(navigate.MODES), default="HYBRID", help="what an answer's anchors come from")
+    p.add_argument("--model", help="folder of an embedding model, for the dense modes")
+    p.add_argument("--beam", type=int, default=navigate.BEAM)
+    p.add_argument("--top", type=int, default=10, help="changed types whose risk a diff tells")
+    p.add_argument("--kind", nargs="*", default=[], help="kinds of nodes that are shown")
+    p.add_argument("--sarif", help="file for the impact as SARIF")
     p.add_argument("-k", type=int, default=0, help="k of the core that communities are taken from; 0: components")
     return p
 
@@ -72,6 +78,10 @@ def run(spark: SparkSession, a, out, g=None) -> int:
             say(exports.report(f"impact of {found['id']}", traverse.impact_paths(g, hit, depth).orderBy("depth", "id")))
             if a.risk:
                 say(exports.report("risk", answers.risk(g, hit, traverse.path_edges(g, hit))))
+            if a.sarif:
+                with open(a.sarif, "w", encoding="utf-8") as f:
+                    results = ",\n".join(r["value"] for r in exports.sarif(hit, g.nodes).orderBy("id").toLocalIterator())
+                    f.write(f'{{"version": "2.1.0", "runs": [{{"tool": {{"driver": {{"name": "loomgraph"}}}}, "results": [\n{results}\n]}}]}}\n')
             if a.max_impacted is not None:
                 exports.gate(hit, a.max_impacted)
         else:
@@ -86,7 +96,11 @@ def run(spark: SparkSession, a, out, g=None) -> int:
         core = analytics.k_core(edges, a.k).select(F.col("a").alias("src"), F.col("b").alias("dst")) if a.k else edges
         say(exports.report("communities", analytics.communities(core.select(F.col("src").alias("id")).union(core.select("dst")).distinct(), core).orderBy(F.col("size").desc(), "community")))
     elif a.command == "ask":
-        r = repository.ask(g, [(1, a.subject)], anchors=a.anchors, depth=a.depth)
+        from loomgraph.sources import models
+
+        encoder = models.open_encoder(a.model) if "dense" in navigate.MODES[a.mode] else None
+        r = repository.ask(g, [(1, a.subject)], anchors=a.anchors, depth=a.depth, mode=a.mode, encoder=encoder, beam=a.beam, budget_=a.budget)
+        say(exports.report("fits the budget", r["fits"]))
         say(exports.report("plan", r["plan"]), exports.report("anchors", r["anchors"]))
         say(exports.report("claims", r["claims"].join(r["verdicts"], "claim_id").select("verdict", "statement").orderBy("verdict", "statement")))
     elif a.command == "index":
@@ -98,6 +112,8 @@ def run(spark: SparkSession, a, out, g=None) -> int:
         changes = answers.diff(g, repository.load(spark, a.subject))
         say(exports.report("changes", changes.groupBy("change").count().orderBy("change")))
         say(exports.report("changed symbols", answers.changed_symbols(changes).orderBy("id")))
+        after = repository.load(spark, a.subject)
+        say(exports.report("what if", answers.what_if(after, changes, a.depth or 4, a.top).orderBy(F.col("score").desc(), "id"), a.top))
     elif a.command == "navigate":
         return navigate(g, a, say)
     elif a.command == "evaluate":
@@ -118,6 +134,7 @@ def run(spark: SparkSession, a, out, g=None) -> int:
             rows = [r.asDict(recursive=True) for r in answers.packets(g, taken.select("id")).collect()]
             say(exports.packet_markdown(rows, a.source))
     elif a.command == "visualize":
+        g = shown(spark, g, a)
         if a.format == "json":
             exports.write_json(g, a.out)
         elif a.format == "html":
@@ -130,6 +147,24 @@ def run(spark: SparkSession, a, out, g=None) -> int:
     return 0
 
 
+def shown(spark: SparkSession, g, a):
+    """The graph within the kinds and around the symbol that are asked for."""
+    from loomgraph.model import induced, scope
+
+    if a.kind:
+        g = scope(g, a.kind)
+    if a.subject:
+        found = answers.resolve_symbols(g.nodes, spark.createDataFrame([(a.subject,)], "query string")).first()
+        if found is None:
+            raise ValueError(f"no symbol matches {a.subject}")
+        packet = traverse.context(g, spark.createDataFrame([(found["id"], found["id"])], "seed string, id string"), a.depth or 3)
+        ids = spark.createDataFrame([(found["id"],)], "id string")
+        for name in ("callers", "endpoints", "dependencies"):
+            ids = ids.union(packet[name].select("id"))
+        g = induced(g, g.nodes.join(ids.distinct(), "id", "left_semi"))
+    return g
+
+
 def quantize(a, say) -> int:
     """Writes an int8 form of a model folder and reports what it costs."""
     import os

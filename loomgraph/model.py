@@ -83,6 +83,10 @@ def dedup_edges(edges: DataFrame, *order: str) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Ids of types, without those of their members.
+TYPE_ID = "id like 'type:%' and instr(id, '#') = 0 and instr(id, '.field:') = 0"
+
+
 def repository_types(g: Graph) -> DataFrame:
     """Nodes of types declared here: an id of `type:` without member part, not external, that something declares."""
     declared = g.edges.where("kind = 'DECLARES'").select(F.col("dst").alias("id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.model import Graph, canonical, owner
+from loomgraph.store import cut
 
 # Risk factors by name, the kind that counts and its weight.
 RISK_FACTORS = (
@@ -86,6 +87,18 @@ def risk_factors(g: Graph, impacted: DataFrame) -> DataFrame:
     return rows.groupBy("seed", "factor").agg(F.count(F.lit(1)).alias("count")).select("seed", "factor", "count", weights[F.col("factor")].alias("weight"), (F.col("count") * weights[F.col("factor")]).alias("contribution"))
 
 
+def what_if(after: Graph, changes: DataFrame, depth: int = 4, top: int = 10) -> DataFrame:
+    """(id, score, band, impacted): the changed types of a diff whose impact in the new graph is the riskiest, all of them
+    in one run; a type that nothing depends on has 0."""
+    from loomgraph.operators.traverse import impact, path_edges
+
+    changed = cut(changed_symbols(changes).join(after.nodes.select("id").distinct(), "id", "left_semi"), "changed")
+    found = cut(impact(after, changed.select(F.col("id").alias("seed"), "id"), depth), "what-if")
+    scored = risk(after, found, path_edges(after, found)).withColumnRenamed("seed", "id")
+    every = changed.join(scored, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("band", F.lit("NONE")).alias("band"), F.coalesce("impacted", F.lit(0).cast("long")).alias("impacted"))
+    return every.orderBy(F.col("score").desc(), "id").limit(top)
+
+
 def claims_from(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
     """(claim_id, subject, statement, src, dst, kind): a claim an edge (with seed), about the anchor (seed, anchor)
     that the edge touches: its source, target or their owners, in that order."""

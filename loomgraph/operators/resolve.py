@@ -212,7 +212,7 @@ def framework(g: Graph) -> Graph:
     g = _layer(g, rows, "EXTERNAL_SERVICE", F.create_map(F.lit("client"), F.lit("http"), F.lit("url"), F.coalesce(a["arg0"], F.lit(""))), _edge(rows, "src", "nid", "DEPENDS_ON", "http-client", "SPRING_MODEL", 0.9), replace=False)
 
     typed = F.when(F.col("kind").isin("FIELD", "METHOD"), F.substring_index(F.substring_index("id", ".field:", 1), "#", 1)).otherwise(F.col("id"))
-    json = g.nodes.select(typed.alias("id"), entry.alias("e")).where("e.key like 'annotation.Json%'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.substring("e.key", 12, 500))), ",").alias("json"))
+    json = g.nodes.select(typed.alias("id"), entry.alias("e")).where("e.key like 'annotation.Json%'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.substr("e.key", F.lit(12)))), ",").alias("json"))
     marks = F.create_map(F.lit("jsonContract"), F.lit("true"), F.lit("jsonAnnotations"), "json")
     nodes = g.nodes.join(json, "id", "left").withColumn("attributes", F.when(F.col("json").isNull(), a).otherwise(_with("attributes", marks)))
     return Graph(cut(nodes.select(*NODE_COLUMNS), "nodes"), g.edges)

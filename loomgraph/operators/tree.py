@@ -114,32 +114,6 @@ def holding(links: DataFrame, names: DataFrame, questions: DataFrame) -> DataFra
     return own.join(closure(links), "id").select("qid", F.col("anc").alias("id")).union(own).distinct()
 
 
-def descend(links: DataFrame, scores: DataFrame, holds: DataFrame, roots: DataFrame, beam: int = 4, max_depth: int = 12, inherit: float = 0.5) -> DataFrame:
-    """(qid, id, depth, score, holds) along a beam descent from roots (qid, id): a child scores its own score and
-    half its parent's; branches that hold the subject come first, then by score, then id; a parent keeps `beam`
-    children, a level `beam` in all. All questions descend in one run, a join and two rankings a level."""
-    level = cut(roots.select("qid", "id", F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.lit(False).alias("holds")), "beam")
-    out = [level]
-    own = scores.select("qid", F.col("id").alias("child"), F.col("score").alias("own"))
-    held = holds.select("qid", F.col("id").alias("child"), F.lit(True).alias("h"))
-    for depth in range(1, max_depth + 1):
-        near = level.select("qid", F.col("id").alias("parent"), F.col("score").alias("from")).join(links, "parent").join(own, ["qid", "child"], "left").join(held, ["qid", "child"], "left")
-        near = near.select("qid", "parent", F.col("child").alias("id"), (inherit * F.col("from") + F.coalesce("own", F.lit(0.0))).alias("score"), F.coalesce("h", F.lit(False)).alias("holds"))
-        near = near.where("score > 0 or holds")
-        order = [F.col("holds").desc(), F.col("score").desc(), "id"]
-        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "parent").orderBy(*order))).where(F.col("_r") <= beam)
-        near = near.groupBy("qid", "id").agg(F.max("score").alias("score"), F.max("holds").alias("holds"))
-        near = near.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("_r") <= beam)
-        level = cut(near.select("qid", "id", F.lit(depth).alias("depth"), "score", "holds"), "beam")
-        if is_empty(level):
-            break
-        out.append(level)
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
-
-
 def rank_branches(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, score) of branches worth a summary: log of symbols below times log of choices, weighed by kind, double
     for a name that says nothing, a tenth for tests; root, groups, single-child and summarized ones left out."""

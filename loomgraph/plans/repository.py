@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.model import Graph, owner
-from loomgraph.operators import answers, architecture, budget, resolve, retrieval, traverse
-from loomgraph.sources import git_log, graph_json
+from loomgraph.operators import answers, architecture, budget, derive, navigate, resolve, retrieval, traverse, tree
+from loomgraph.sources import git_log, graph_json, models
 from loomgraph.sources.java_source import emissions, source_files
 from loomgraph.store import cut
 
@@ -47,23 +47,66 @@ def load(spark: SparkSession, path: str, layers: Layers = Layers()) -> Graph:
     return graph_json.read(spark, path) if path.endswith(".json") else build(spark, path, layers)
 
 
-def ask(g: Graph, questions: list[tuple[int, str]], limit: int = 10, anchors: int = 1, depth: int | None = None) -> dict[str, DataFrame]:
-    """Answers to all questions in one run: plan, anchors, claims and their verdicts. A symbol that a question
-    names comes first, then what retrieval finds; every claim is one edge and is verified against the graph."""
+def tree_hits(g: Graph, plan: DataFrame, questions: list[tuple[int, str]], index: tuple[DataFrame, DataFrame] | None = None, beam: int = navigate.BEAM, most: int = 10, choose=navigate.best_first) -> DataFrame:
+    """(qid, id, rank): the graph's nodes where descents through the table of contents land."""
+    nodes, links = index or derive.derive(g)
+    nodes, links = cut(nodes, "index-nodes"), cut(links, "index-links")
+    scores = tree.subtree_scores(tree.cards(nodes, links), links, questions)
+    names = nodes.select("id", F.explode(F.array_distinct(F.array("name", X.simple_name(F.col("name")), F.substring_index("name", "#", -1)))).alias("name"), (F.col("kind") == "MEMBER").alias("member"))
+    asked = plan.where("subject <> ''").select("qid", "subject")
+    named = names.join(asked, F.lower("name") == F.lower("subject")).select("qid", "id").distinct()
+    entries = nodes.select("id", "kind", F.col("facts")["kind"].alias("entity"))
+    found = navigate.descend(plan.select("qid", "kind"), links, entries, scores, named, tree.holding(links, names, asked), derive.ROOT, beam, most, choose)["anchors"]
+    of = nodes.where(F.size("graph_ids") > 0).select("id", F.col("graph_ids")[0].alias("node"))
+    return found.join(of, "id").select("qid", F.col("node").alias("id"), F.col("position").alias("rank"))
+
+
+def dense_index(g: Graph, encoder) -> DataFrame:
+    """(id, test, v): the vector of each node that has one, its facets one vote each, and whether it is test code."""
+    nodes = navigate.embedded(g.nodes)
+    pooled = retrieval.facet_votes(models.encode(models.facets(nodes), encoder).select("id", "v"))
+    v = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"])
+    return pooled.groupBy("id").agg(v.alias("v")).join(nodes.select("id", X.is_test(F.col("name"), F.col("file")).alias("test")), "id").select("id", "test", "v")
+
+
+def dense_hits(g: Graph, questions: list[tuple[int, str]], encoder, most: int) -> DataFrame:
+    """(qid, id, rank) by vectors, test code demoted."""
+    asked = g.spark.createDataFrame([(q, [float(x) for x in encoder.vector(text)]) for q, text in questions], "qid long, q array<double>")
+    return retrieval.nearest(dense_index(g, encoder), asked, most, test=F.col("test")).select("qid", "id", "rank")
+
+
+def ask(g: Graph, questions: list[tuple[int, str]], limit: int = 10, anchors: int = 1, depth: int | None = None, mode: str = "HYBRID", index=None, encoder=None, beam: int = navigate.BEAM, budget_: int | None = None) -> dict[str, DataFrame]:
+    """Answers to all questions in one run: plan, anchors, packet, claims and their verdicts, and with a budget how
+    much of each merged packet fits (`fits`). What leads is up to the mode; every claim is one edge and is verified
+    against the graph."""
     spark = g.spark
     asked = spark.createDataFrame(questions, "qid long, question string")
     plan = cut(asked.select("qid", X.classify(F.col("question")).alias("p"), X.subject(F.col("question")).alias("subject")).select("qid", "p.kind", "subject", F.coalesce(F.lit(depth), "p.depth").alias("depth")), "plan")
-    named = answers.resolve_symbols(g.nodes, plan.where("subject <> ''").select(F.col("subject").alias("query")))
-    named = plan.join(named, plan["subject"] == named["query"]).select("qid", "id", F.lit(1).alias("rank"))
-    hits = retrieval.search_nodes(g.nodes, questions, limit).join(g.nodes.where("kind not in ('FILE', 'PACKAGE', 'REPOSITORY')").select("id"), "id", "left_semi").select("qid", "id", "rank")
-    chosen = cut(answers.plan_anchors([named, hits], anchors), "anchors")
-    seeds = cut(chosen.join(plan.select("qid", F.col("depth").alias("most")), "qid").select(F.col("qid").cast("string").alias("seed"), "id", "most"), "seeds")
-    packet = traverse.context(g, seeds, plan.agg(F.max("depth")).first()[0] or 1)
-    evidence = cut(packet["evidence"], "evidence")
-    anchor = seeds.select("seed", F.col("id").alias("anchor"))
-    claims = cut(answers.claims_from(evidence, anchor), "claims")
+    needs, parts = navigate.MODES.get(mode, ()), {}
+    if "flat" in needs:
+        named = answers.resolve_symbols(g.nodes, plan.where("subject <> ''").select(F.col("subject").alias("query")))
+        parts["named"] = plan.join(named, plan["subject"] == named["query"]).select("qid", "id", F.lit(1).alias("rank"))
+        anchorable = g.nodes.where("kind not in ('FILE', 'PACKAGE', 'REPOSITORY')").select("id")
+        parts["flat"] = retrieval.search_nodes(g.nodes, questions, limit).join(anchorable, "id", "left_semi").select("qid", "id", "rank")
+    if "tree" in needs:
+        parts["tree"] = tree_hits(g, plan, questions, index, beam, max(1, anchors))
+    if "dense" in needs and encoder is not None:
+        parts["dense"] = dense_hits(g, questions, encoder, max(limit, anchors))
+    chosen = cut(navigate.anchors_of(mode, parts, anchors), "anchors")
+    # A packet an anchor; the seed says whose it is.
+    seed = F.concat_ws("/", F.col("qid").cast("string"), F.col("position").cast("string"))
+    seeds = cut(chosen.join(plan.select("qid", F.col("depth").alias("most")), "qid").select(seed.alias("seed"), "id", "most", F.col("qid").alias("group"), "position"), "seeds")
+    packet = traverse.context(g, seeds.select("seed", "id", "most"), plan.agg(F.max("depth")).first()[0] or 1)
+    packet = navigate.merged(packet, seeds.select("group", "seed", "position"))
+    packet = {name: cut(rows.withColumn("seed", F.col("group").cast("string")).drop("group", "position"), name) for name, rows in packet.items()}
+    anchor = seeds.select(F.col("group").cast("string").alias("seed"), F.col("id").alias("anchor"))
+    claims = cut(answers.claims_from(packet["evidence"], anchor), "claims")
     verdicts = answers.verify_claims(claims, claims.select("claim_id", "src", "dst", "kind"), g.nodes, g.edges)
-    return {"plan": plan, "anchors": chosen, "packet": packet, "claims": claims, "verdicts": verdicts}
+    out = {"plan": plan, "anchors": chosen, "packet": packet, "claims": claims, "verdicts": verdicts}
+    if budget_ is not None:
+        first = seeds.where("position = 1").select(F.col("group").cast("string").alias("seed"), "id")
+        out["fits"] = compressed(g, packet, first, budget_)
+    return out
 
 
 def compressed(g: Graph, packet: dict[str, DataFrame], seeds: DataFrame, tokens: int = 1500) -> DataFrame:

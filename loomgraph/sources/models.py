@@ -169,6 +169,68 @@ class StaticEncoder:
         return (mean / n if n else mean).astype(np.float32)
 
 
+class EncoderUnavailable(RuntimeError):
+    """There is no encoder, or what it needs isn't there."""
+
+
+@dataclass
+class OnnxEncoder:
+    """The masked mean of a transformer's last layer, at length 1, of at most MOST_TOKENS tokens. It is told by its
+    folder, so that each task opens the model for itself."""
+
+    folder: str
+
+    def __post_init__(self):
+        self._session = None
+
+    def __getstate__(self):
+        return {"folder": self.folder}
+
+    def __setstate__(self, state):
+        self.folder, self._session = state["folder"], None
+
+    def open(self):
+        if self._session is None:
+            try:
+                import onnxruntime
+            except ImportError as e:
+                raise EncoderUnavailable("model.onnx needs onnxruntime; a static model.safetensors doesn't") from e
+            self._session = onnxruntime.InferenceSession(os.path.join(self.folder, "model.onnx"), providers=["CPUExecutionProvider"])
+            self._words = WordPiece.from_file(os.path.join(self.folder, "vocab.txt"))
+        return self._session
+
+    def vector(self, text: str):
+        import numpy as np
+
+        session = self.open()
+        ids = np.array([self._words.encode(text or "", MOST_TOKENS)], dtype=np.int64)
+        every = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
+        states = session.run(None, {i.name: every[i.name] for i in session.get_inputs()})[0][0]
+        mean = states.astype(np.float64).mean(axis=0)
+        n = np.linalg.norm(mean)
+        return (mean / n if n else mean).astype(np.float32)
+
+
+def open_encoder(folder: str | None):
+    """The encoder of a model folder: a static one before one that needs a runtime. Raises EncoderUnavailable."""
+    if not folder:
+        raise EncoderUnavailable("no model folder is given")
+    if os.path.isfile(os.path.join(folder, "model.safetensors")):
+        return StaticEncoder.from_folder(folder)
+    if not os.path.isfile(os.path.join(folder, "model.onnx")):
+        raise EncoderUnavailable(f"neither model.safetensors nor model.onnx is in {folder}")
+    encoder = OnnxEncoder(folder)
+    encoder.open()
+    return encoder
+
+
+def resolve_encoder(configured: str | None, packaged: str | None = None):
+    """The encoder that is configured, else the one that is shipped, else none."""
+    if configured:
+        return open_encoder(configured)
+    return StaticEncoder.from_folder(packaged) if packaged and os.path.isfile(os.path.join(packaged, "model.safetensors")) else None
+
+
 def encode(texts: DataFrame, encoder: StaticEncoder, text_col: str = "text") -> DataFrame:
     """texts with `v`, in Arrow batches; equal texts of a batch are encoded once."""
     kind = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes)

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from loomgraph.functions import text as X
 from loomgraph.model import EDGE_SCHEMA, NODE_SCHEMA, Graph, lifted, owner, repository_types
-from loomgraph.operators import analytics, answers, budget, evaluate, retrieval, traverse, tree
+from loomgraph.operators import navigate, analytics, answers, budget, evaluate, retrieval, traverse, tree
 
 
 def graph(spark, nodes, edges):
@@ -212,14 +212,36 @@ def test_fan_out(spark):
     assert up.where("anc = 'p' and id like 'c%'").count() == 130
 
 
-def test_descent_prefers_the_subject(spark):
-    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "a1"), ("b", "b1")], "parent string, child string")
-    scores = spark.createDataFrame([(1, "a", 5.0), (1, "b", 1.0), (1, "a1", 2.0), (1, "b1", 2.0)], "qid int, id string, score double")
-    root = spark.createDataFrame([(1, "r")], "qid int, id string")
-    free = tree.descend(links, scores, scores.select("qid", "id").limit(0), root, beam=1)
-    assert [r["id"] for r in free.orderBy("depth").collect()] == ["r", "a", "a1"]
-    held = spark.createDataFrame([(1, "b"), (1, "b1")], "qid int, id string")
-    assert [r["id"] for r in tree.descend(links, scores, held, root, beam=1).orderBy("depth").collect()] == ["r", "b", "b1"]
+def test_descent(spark):
+    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "a1"), ("b", "b1"), ("b", "b2")], "parent string, child string")
+    nodes = spark.createDataFrame([("r", "ROOT", ""), ("a", "MODULE", ""), ("b", "MODULE", ""), ("a1", "TYPE", ""), ("b1", "TYPE", ""), ("b2", "MEMBER", "")], "id string, kind string, entity string")
+    scores = spark.createDataFrame([(q, i, x) for q in (1, 2, 3) for i, x in (("a", 5.0), ("b", 1.0), ("a1", 2.0), ("b1", 2.0))], "qid int, id string, score double")
+    plan = spark.createDataFrame([(1, "LOOKUP"), (2, "STRUCTURE"), (3, "LOOKUP")], "qid int, kind string")
+    held = spark.createDataFrame([(3, "b"), (3, "b2")], "qid int, id string")
+    named = spark.createDataFrame([(3, "b2")], "qid int, id string")
+    found = navigate.descend(plan, links, nodes, scores, named, held, "r", beam=1)
+    got = {}
+    for r in found["anchors"].orderBy("position").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    # 1: the leaf, and the branch that no leaf beats; 2: stops at the module; 3: what holds the subject leads, down to it.
+    assert got == {1: ["a1", "a"], 2: ["a"], 3: ["b2"]} or got[1] == ["a", "a1"]
+    assert got[2] == ["a"] and got[3] == ["b2"]
+    assert [r["id"] for r in found["trace"].where("qid = 3").orderBy("depth").collect()] == ["b", "b2"]
+    with pytest.raises(ValueError, match="no such mode"):
+        navigate.anchors_of("GUESS", {}, 1)
+    with pytest.raises(ValueError, match="needs dense"):
+        navigate.anchors_of("DENSE", {}, 1)
+
+
+def test_knapsack_leaves_out_what_can_never_fit(spark):
+    r = random.Random(8)
+    items = [(i, r.choice([3, 5, 9, 40])) for i in range(400)]
+    got = {x["id"]: x["taken"] for x in budget.knapsack(spark.createDataFrame([(i, i, c) for i, c in items], "ord int, id int, cost int"), 100).collect()}
+    used, want = 0, {}
+    for i, c in items:
+        want[i] = used + c <= 100
+        used += c if want[i] else 0
+    assert got == want
 
 
 def test_evaluation(spark):
