@@ -8,9 +8,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, answers, architecture, budget, derive, navigate, traverse, tree
+from loomgraph.operators import analytics, answers, architecture, budget, derive, traverse, tree
+from loomgraph.operators import navigate as descent
 from loomgraph.plans import repository
 from loomgraph.sinks import exports
+from loomgraph.sources import classpath
 
 COMMANDS = ("inspect", "impact", "context", "architecture", "ask", "index", "navigate", "serve", "snapshot", "diff", "evaluate", "enrichment-plan", "enrich-targets", "enrich-apply", "visualize", "quantize-model")
 
@@ -34,9 +36,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--budget", type=int, default=20_000)
     p.add_argument("--limit", type=int, default=40)
     p.add_argument("--anchors", type=int, default=1)
-    p.add_argument("--mode", choices=tuple(navigate.MODES), default="HYBRID", help="what an answer's anchors come from")
+    p.add_argument("--mode", choices=tuple(descent.MODES), default="HYBRID", help="what an answer's anchors come from")
     p.add_argument("--model", help="folder of an embedding model, for the dense modes")
-    p.add_argument("--beam", type=int, default=navigate.BEAM)
+    p.add_argument("--beam", type=int, default=descent.BEAM)
     p.add_argument("--top", type=int, default=10, help="changed types whose risk a diff tells")
     p.add_argument("--kind", nargs="*", default=[], help="kinds of nodes that are shown")
     p.add_argument("--sarif", help="file for the impact as SARIF")
@@ -65,6 +67,8 @@ def run(spark: SparkSession, a, out, g=None) -> int:
         if a.out:
             exports.write_json(g, a.out)
         say(exports.report("nodes by kind", g.nodes.groupBy("kind").count().orderBy("kind")))
+        if not a.source.endswith(".json"):
+            say(classpath.discover(a.source).report(a.source))
     elif a.command in ("impact", "context"):
         found = answers.resolve_symbols(g.nodes, spark.createDataFrame([(a.subject,)], "query string")).first()
         if found is None:
@@ -98,7 +102,7 @@ def run(spark: SparkSession, a, out, g=None) -> int:
     elif a.command == "ask":
         from loomgraph.sources import models
 
-        encoder = models.open_encoder(a.model) if "dense" in navigate.MODES[a.mode] else None
+        encoder = models.open_encoder(a.model) if "dense" in descent.MODES[a.mode] else None
         r = repository.ask(g, [(1, a.subject)], anchors=a.anchors, depth=a.depth, mode=a.mode, encoder=encoder, beam=a.beam, budget_=a.budget)
         say(exports.report("fits the budget", r["fits"]))
         say(exports.report("plan", r["plan"]), exports.report("anchors", r["anchors"]))

@@ -1,51 +1,51 @@
-"""Where a build has left its class path: for tools that want it; this engine's own analysis reads sources only."""
+"""What a build has left behind: listings of a class path and folders of compiled classes. One walk finds candidates,
+one merge makes them a class path. This engine reads sources only; the class path tells how much of what they refer
+to is at hand, and goes to tools that want it."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-FILES = ("target/loomgraph.classpath", "build/loomgraph.classpath", "target/classpath.txt", "build/classpath.txt")
-OUTPUTS = ("target/classes", "target/test-classes", "build/classes/java/main", "build/classes/java/test")
 DEEPEST = 3
-_SKIPPED = {"src", "node_modules", "target", "build"}
+# Where build tools put what they make, and how a listing in there may be called.
+BUILD_FOLDERS = ("target", "build")
+OUTPUTS = ("classes", "test-classes", "classes/java/main", "classes/java/test")
+LISTING = re.compile(r"(?:.*\.)?classpath(?:\.txt)?$")
 
 
 @dataclass(frozen=True)
-class Discovered:
-    entries: tuple[str, ...]
-    source: str
-    advice: str
-    dependencies: bool
-
-
-def advice(root: str) -> str:
-    gradle = any(os.path.exists(os.path.join(root, f)) for f in ("build.gradle", "build.gradle.kts"))
-    how = "have each project write its runtimeClasspath" if gradle else "mvn dependency:build-classpath -Dmdep.outputFile=target/classpath.txt -Dmdep.includeScope=test"
-    return f"No class path was found; {how}{' to build/classpath.txt' if gradle else ''}."
-
-
-def discover(root: str) -> Discovered:
-    """Entries of the root's class path file, else of its modules' (three levels down), and output folders."""
-    folders = [d for d, subs, _ in os.walk(root) if not subs.sort() and _depth(root, d, subs) <= DEEPEST]
-    listed = [os.path.join(root, f) for f in FILES if os.path.isfile(os.path.join(root, f))][:1]
-    source = os.path.relpath(listed[0], root) if listed else ""
-    if not listed:
-        listed = [p for d in folders for f in FILES if os.path.isfile(p := os.path.join(d, f))]
-        source = f"{len(listed)} class path files of modules" if listed else ""
-    entries: dict[str, None] = {}
-    for path in listed:
+class ClassPath:
+    entries: tuple[str, ...] = ()
+    listings: tuple[str, ...] = ()
+
+    def report(self, root: str) -> str:
+        told = ", ".join(os.path.relpath(x, root) for x in self.listings) or "output folders only"
+        return f"class path: {len(self.entries)} entries ({told})" if self.entries else "class path: none; let the build write one to build/classpath.txt for the types of its libraries"
+
+
+def candidates(root: str) -> Iterator[tuple[int, str, str]]:
+    """(depth, what, path) of listings and folders of classes, DEEPEST folders down, in order of path."""
+    for folder, inner, files in os.walk(root):
+        depth = 0 if folder == root else os.path.relpath(folder, root).count(os.sep) + 1
+        for build in [x for x in BUILD_FOLDERS if x in inner]:
+            own = os.path.join(folder, build)
+            yield from ((depth, "listing", os.path.join(own, f)) for f in sorted(os.listdir(own)) if LISTING.match(f))
+            yield from ((depth, "classes", p) for o in OUTPUTS if os.path.isdir(p := os.path.join(own, o)))
+        inner[:] = sorted(x for x in inner if depth < DEEPEST and x not in BUILD_FOLDERS and x != "src" and not x.startswith("."))
+
+
+def discover(root: str) -> ClassPath:
+    """The class path of a repository: what its own listing says or, without one, its modules' listings, and all
+    folders of classes; entries that don't exist are left out."""
+    found = sorted(candidates(root))
+    nearest = min((d for d, what, _ in found if what == "listing"), default=0)
+    listings = [p for d, what, p in found if what == "listing" and (nearest > 0 or d == 0)]
+    entries: list[str] = []
+    for path in listings:
         with open(path, encoding="utf-8") as f:
-            entries |= dict.fromkeys(x.strip() for x in re.split(f"[{re.escape(os.pathsep)}\r\n]+", f.read()) if x.strip())
-    outputs = [p for d in folders for o in OUTPUTS if os.path.isdir(p := os.path.join(d, o))]
-    entries |= dict.fromkeys(outputs)
-    if not entries:
-        return Discovered((), "none", advice(root), False)
-    return Discovered(tuple(e for e in entries if os.path.exists(e)), source or "build output directories", "" if listed else advice(root), bool(listed))
-
-
-def _depth(root: str, folder: str, subs: list[str]) -> int:
-    depth = 0 if folder == root else os.path.relpath(folder, root).count(os.sep) + 1
-    subs[:] = [] if depth >= DEEPEST else [s for s in subs if s not in _SKIPPED and not s.startswith(".")]
-    return depth
+            entries += re.split(rf"[{re.escape(os.pathsep)}\r\n]+", f.read().strip())
+    entries += [p for _, what, p in found if what == "classes"]
+    return ClassPath(tuple(e for e in dict.fromkeys(x.strip() for x in entries) if e and os.path.exists(e)), tuple(listings))

@@ -206,13 +206,16 @@ def test_server(root, spark):
 
 
 def test_classpath(tmp_path):
-    assert classpath.discover(str(tmp_path)).source == "none" and "mvn" in classpath.discover(str(tmp_path)).advice
+    assert classpath.discover(str(tmp_path)) == classpath.ClassPath() and "none" in classpath.discover(str(tmp_path)).report(str(tmp_path))
     (tmp_path / "a/target/classes").mkdir(parents=True)
-    found = classpath.discover(str(tmp_path))
-    assert found.entries == (str(tmp_path / "a/target/classes"),) and not found.dependencies
+    assert classpath.discover(str(tmp_path)).entries == (str(tmp_path / "a/target/classes"),)
     (tmp_path / "a/target/classpath.txt").write_text(f"{tmp_path}/a:/no/such")
     found = classpath.discover(str(tmp_path))
-    assert str(tmp_path / "a") in found.entries and found.dependencies and "/no/such" not in found.entries
+    assert found.entries == (f"{tmp_path}/a", str(tmp_path / "a/target/classes")) and len(found.listings) == 1
+    (tmp_path / "build").mkdir()
+    (tmp_path / "build/main.classpath").write_text(f"{tmp_path}\n")
+    found = classpath.discover(str(tmp_path))
+    assert found.entries == (str(tmp_path), str(tmp_path / "a/target/classes")) and found.listings == (str(tmp_path / "build/main.classpath"),)
 
 
 def test_session(root, spark):
