@@ -34,11 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Spark's own setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there and a lost
-    executor costs no more than a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    executor costs no more than a re-read. The shuffle files of the write, which nothing needs once the table is
+    there, go with it."""
+    path, conf = f"{shared_dir(df.sparkSession)}/loomgraph-{label}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_cut_path"] = path
     return out
