@@ -18,7 +18,7 @@ def test_stages_equal_brute_force(spark, sf):
             texts[i] = r["text"]
     shares = {r["doc_id"]: r["dup_line_share"] for r in quality_rules.op3_quality_rules(spark, sf).collect()}
     texts = {i: t for i, t in texts.items() if shares[i] <= quality_rules.LINE_LIMIT}
-    texts = dict(zip(texts, (x[0] for x in lines.brute_lines(list(texts.values()), 10)), strict=True))
+    texts = dict(zip(texts, (x[0] for x in lines.brute_lines(list(texts.items()), 10)), strict=True))
     groups = near.brute_join(list(texts.items()), 5, 80)
     texts = {i: t for i, t in texts.items() if groups[i][1] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -37,3 +37,13 @@ def test_stages_equal_brute_force(spark, sf):
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram join", "decontamination", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_and_empty_tables(spark, odd, none, sf, tmp_path):
+    for name, docs, ids in (("odd", odd, {3, 4, 7, 8}), ("none", none, set())):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        got = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+        assert got <= ids | {None}
+        assert (4 in got) == (name == "odd")
