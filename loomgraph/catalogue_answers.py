@@ -238,3 +238,70 @@ def baseline_report(spark, sf_dir):
 def oracle_targets(spark, sf_dir):
     q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.col("n_name").alias("subject"), F.array(F.concat(F.lit("customer:"), "n_nationkey"), F.lit("no such name")).alias("expected"))
     return evaluate.targets(star_graph(spark, sf_dir).nodes, q)
+
+
+# ---- claims and names
+
+
+@query("claims_generated", """WITH e AS (SELECT DISTINCT 'order:' || l_orderkey AS seed, 'order:' || l_orderkey || '#' || l_linenumber AS src, 'supplier:' || l_suppkey AS dst FROM lineitem)
+ SELECT seed, sha256(concat_ws('|', seed, src, dst, 'CONSUMES')) AS claim_id, seed AS subject, src || ' consumes ' || dst AS statement FROM e""")
+def claims_generated(spark, sf_dir):
+    """A claim an edge of the lines of every order, about the order."""
+    e = star_graph(spark, sf_dir).edges.where("kind = 'CONSUMES'").select(F.substring_index("src", "#", 1).alias("seed"), "src", "dst", "kind").distinct()
+    anchors = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("seed")).withColumn("anchor", F.col("seed"))
+    return answers.claims_from(e, anchors).select("seed", "claim_id", "subject", "statement")
+
+
+@query("claims_merged", """WITH c AS (SELECT o_custkey AS k, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'SUMMARY' WHEN 1 THEN 'DISPUTE' WHEN 2 THEN 'RISK' ELSE 'SUMMARY' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'says ' || o_orderkey END AS value, o_orderstatus <> 'P' AS fine FROM orders),
+ u AS (SELECT * FROM c WHERE kind <> 'DISPUTE' AND trim(value) <> '' AND fine QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY o_orderkey DESC) = 1)
+ SELECT 'customer:' || c_custkey AS id, max(CASE WHEN kind = 'SUMMARY' THEN value END) AS summary, max(CASE WHEN kind = 'RISK' THEN value END) AS risk, coalesce(max(CASE WHEN kind IS NOT NULL THEN '0.8' END), '') AS trust
+ FROM customer LEFT JOIN u ON k = c_custkey GROUP BY 1""")
+def claims_merged(spark, sf_dir):
+    """Claims about customers, by their orders: disputes, blank values and unsupported ones are left out, the last of a
+    kind wins, and confidence is cut to 0.80."""
+    o = table(spark, sf_dir, "orders")
+    kind = "CASE o_orderkey % 4 WHEN 0 THEN 'SUMMARY' WHEN 1 THEN 'DISPUTE' WHEN 2 THEN 'RISK' ELSE 'SUMMARY' END AS kind"
+    claims = o.selectExpr("concat('c', o_orderkey) AS claim_id", "concat('customer:', o_custkey) AS subject", kind, "CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE concat('says ', o_orderkey) END AS value", "0.9D AS confidence", "o_orderkey AS ord")
+    verdicts = o.selectExpr("concat('c', o_orderkey) AS claim_id", "CASE WHEN o_orderstatus <> 'P' THEN 'SUPPORTED' ELSE 'UNSUPPORTED_MISSING_CITATION' END AS verdict")
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.create_map().cast("map<string,string>").alias("attributes"))
+    a = F.col("attributes")
+    merged, _ = answers.merge_claims(nodes, claims, verdicts)
+    return merged.select("id", a["claim.summary"].alias("summary"), a["claim.risk"].alias("risk"), F.coalesce(a["claim.summary.confidence"], a["claim.risk.confidence"], F.lit("")).alias("trust"))
+
+
+@query("claims_stripped", "SELECT c_custkey, 'kept ' || c_name AS note, 1::BIGINT AS n FROM customer")
+def claims_stripped(spark, sf_dir):
+    both = F.create_map(F.lit("claim.summary"), F.col("c_name"), F.lit("note"), F.concat(F.lit("kept "), "c_name"), F.lit("claim.risk"), F.lit("x"))
+    out = answers.strip_claims(table(spark, sf_dir, "customer").select("c_custkey", both.alias("attributes")))
+    return out.select("c_custkey", F.col("attributes")["note"].alias("note"), F.size("attributes").cast("long").alias("n"))
+
+
+@query("work_packets", """WITH e AS (SELECT DISTINCT 'supplier:' || l_suppkey AS id, 'order:' || l_orderkey || '#' || l_linenumber AS src, 'CONSUMES' AS kind, 'supplier:' || l_suppkey AS dst FROM lineitem
+  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'CONTAINS', 'supplier:' || s_suppkey FROM supplier UNION SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey, 'DEPENDS_ON', 'nation:' || s_nationkey FROM supplier)
+ SELECT 'supplier:' || s_suppkey AS id, s_name AS name, count(*) AS citable, min(src || ' ' || e.kind || ' ' || dst) AS first FROM supplier JOIN e ON e.id = 'supplier:' || s_suppkey GROUP BY 1, 2""")
+def work_packets(spark, sf_dir):
+    """What a claim about each supplier may cite."""
+    from loomgraph.sources.tables import as_graph_rows
+
+    g = as_graph_rows(star_graph(spark, sf_dir))
+    p = answers.packets(g, g.nodes.where("kind = 'EXTERNAL_SERVICE'").select("id"))
+    said = F.array_min(F.transform("citable", lambda c: F.concat_ws(" ", c["src"], c["kind"], c["dst"])))
+    return p.select("id", "name", F.size("citable").cast("long").alias("citable"), said.alias("first"))
+
+
+@query("name_parts", """SELECT c_custkey, 'star.n' || c_nationkey || '.web' AS package, 'Customer' || c_custkey AS simple, '/n' || c_nationkey || '/c' || c_custkey AS path, '/c' || c_custkey AS alone, '<default>' AS none FROM customer""")
+def name_parts(spark, sf_dir):
+    from loomgraph.functions import text as X
+
+    name = F.concat(F.lit("star.n"), "c_nationkey", F.lit(".web.Customer"), "c_custkey")
+    path = X.join_paths(F.concat(F.lit("n"), "c_nationkey", F.lit("//")), F.concat(F.lit("c"), "c_custkey"))
+    alone = X.join_paths(F.lit("/"), F.concat(F.lit("/c"), "c_custkey"))
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", X.package_from_name(name).alias("package"), X.simple_name(name).alias("simple"), path.alias("path"), alone.alias("alone"), X.package_from_name(F.concat(F.lit("Main"), "c_custkey")).alias("none"))
+
+
+@query("kind_priors", """SELECT 'MODULE' AS kind, 1.3::DOUBLE AS prior UNION ALL SELECT 'TYPE', 1.15 UNION ALL SELECT 'SERVICE', 1.3 UNION ALL SELECT 'EXTERNAL_SERVICE', 1.3 UNION ALL SELECT 'DATABASE_TABLE', 1.3 UNION ALL SELECT 'ENDPOINT', 1.3 UNION ALL SELECT 'METHOD', 1.0""")
+def kind_priors(spark, sf_dir):
+    from loomgraph.functions import text as X
+
+    return star_graph(spark, sf_dir).nodes.select("kind").distinct().select("kind", X.kind_prior(F.col("kind")).cast("double").alias("prior"))
