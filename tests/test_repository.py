@@ -286,3 +286,23 @@ def test_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copy(os.path.join(repo, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'impact_distance' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_encoders_are_resolved(tmp_path):
+    assert models.resolve_encoder(None) is None and models.resolve_encoder(None, str(tmp_path)) is None
+    with pytest.raises(models.EncoderUnavailable, match="no model folder"):
+        models.open_encoder(None)
+    with pytest.raises(models.EncoderUnavailable, match="neither"):
+        models.open_encoder(str(tmp_path))
+
+
+def test_folded_centroids(spark):
+    from loomgraph.operators import navigate
+
+    links = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("a", "y")], "parent string, child string")
+    v = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 2.0]), ("b", [0.0, 5.0])], "id string, v array<double>")
+    got = {(r["id"], r["i"]): r["value"] for r in navigate.folded_centroids(links, v).collect()}
+    half = 0.5**0.5
+    assert got["a", 0] == pytest.approx(half) and got["a", 1] == pytest.approx(half)
+    n = (half**2 + (half + 1) ** 2) ** 0.5
+    assert got["r", 0] == pytest.approx(half / n) and got["r", 1] == pytest.approx((half + 1) / n)
