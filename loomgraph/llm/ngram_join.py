@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import FOLD, cut, discard, mix64, pieces, table, word_codes, words_of
 from loomgraph.llm.components import components
 
-#: Least coordinates of a count vector, points in a leaf, rows of a block.
-AXES, LEAF, BLOCK = 64, 16, 2048
+#: Least coordinates of a count vector, points in a leaf, boxes in a box above, rows of a block.
+AXES, LEAF, FAN, BLOCK = 64, 16, 8, 2048
 #: A vector gets four times the coordinates until no more than so many shingles come to each, on average: the
 #: counts of unlike sets differ by chance as the root of their size, and what a link may differ in grows with it.
 CROWD = 8
@@ -390,44 +390,86 @@ def _bucket_forests(percent: int):
     return run
 
 
-def leaves(points, sizes):
-    """R-tree over points of counts, loaded in bulk: rows in order of size and leading axes, LEAF to a leaf. Gives
-    the order, and of each leaf the upper corner of its box and its least and greatest size."""
+def loaded(points, sizes, percent: int):
+    """R-tree over points of counts, loaded in bulk: rows are halved, by size as long as sizes alone rule out links
+    and else between two points far from each other, down to leaves of LEAF; FAN neighbouring boxes are one of the
+    level above, up to a root. Gives the order of the rows and the levels, leaves first: of each box the upper
+    corner and the least and greatest size."""
     import numpy as np
 
-    order = np.lexsort((points[:, 1], points[:, 0], sizes))
-    cuts = np.arange(0, len(order), LEAF)
-    p, s = points[order], sizes[order]
-    return order, np.maximum.reduceat(p, cuts), np.minimum.reduceat(s, cuts), np.maximum.reduceat(s, cuts)
+    order, todo = np.arange(len(points)), [(0, len(points))]
+    while todo:
+        start, stop = todo.pop()
+        if stop - start <= LEAF:
+            continue
+        rows = order[start:stop]
+        by = sizes[rows]
+        if by.min() * 100 >= by.max() * percent:
+            own = points[rows]
+            seed = own[np.abs(own - own[0]).sum(axis=1).argmax()]
+            by = own @ (own[np.abs(own - seed).sum(axis=1).argmax()] - seed)
+        order[start:stop] = rows[np.argsort(by, kind="stable")]
+        half = start + math.ceil((stop - start) / LEAF) // 2 * LEAF
+        todo += [(start, half), (half, stop)]
+    levels, box, step = [], (points[order], sizes[order], sizes[order]), LEAF
+    while True:
+        cuts = np.arange(0, len(box[0]), step)
+        box = tuple(f.reduceat(x, cuts) for f, x in zip((np.maximum, np.minimum, np.maximum), box, strict=True))
+        levels.append(box)
+        if len(box[0]) <= 1:
+            return order, levels
+        step = FAN
+
+
+def _below(x, y, n: int):
+    """The pairs (child of x, y) of boxes, where the level below that of x has n boxes."""
+    import numpy as np
+
+    x, y = (x[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(y, FAN)
+    return x[x < n], y[x < n]
+
+
+def may_link(boxes_a, x, boxes_b, y, percent: int):
+    """Mask of the pairs (x, y) of boxes in which points may link: the minima of the upper corners bound the overlap
+    of all their points, and a link needs sizes near each other."""
+    import numpy as np
+
+    (top_a, low_a, high_a), (top_b, low_b, high_b) = boxes_a, boxes_b
+    least = np.maximum(low_a[x], -(-low_b[y] * percent // 100)) + np.maximum(low_b[y], -(-low_a[x] * percent // 100))
+    fine = (high_a[x] * 100 >= low_b[y] * percent) & (high_b[y] * 100 >= low_a[x] * percent)
+    at = np.flatnonzero(fine)
+    for part in np.array_split(at, max(1, len(at) * top_a.shape[1] >> 20)):
+        bound = np.minimum(top_a[x[part]], top_b[y[part]]).sum(axis=1, dtype=np.int64)
+        fine[part] = bound * (100 + percent) >= percent * least[part]
+    return fine
 
 
 def tree_pairs(points_a, sizes_a, points_b, sizes_b, percent: int):
     """(i, j, slack) of the points whose summed coordinate minima reach the overlap that a link of their sizes
-    needs, by how much. Boxes of leaves are compared first: the minima of their upper corners bound all pairs
-    of their points, and a link needs sizes near each other."""
+    needs, by how much. Both trees are descended at once, from the roots; pairs of boxes that hold no link go."""
     import numpy as np
 
-    oa, top_a, low_a, high_a = leaves(points_a, sizes_a)
-    ob, top_b, low_b, high_b = leaves(points_b, sizes_b)
-    found = []
-    for k in range(len(top_a)):
-        least = np.maximum(low_b, -(-low_a[k] * percent // 100))  # a linked set may be as small as that
-        near = (high_a[k] * 100 >= low_b * percent) & (high_b * 100 >= low_a[k] * percent)
-        bound = np.minimum(top_b, top_a[k]).sum(axis=1)
-        at = np.flatnonzero(near & (bound * (100 + percent) >= percent * (low_a[k] + least)))
-        if not len(at):
-            continue
+    oa, tree_a = loaded(points_a, sizes_a, percent)
+    ob, tree_b = loaded(points_b, sizes_b, percent)
+    x = y = np.zeros(1, dtype=np.int64)
+    for level in reversed(range(max(len(tree_a), len(tree_b)))):
+        if level + 1 < len(tree_a):
+            x, y = _below(x, y, len(tree_a[level][0]))
+        if level + 1 < len(tree_b):
+            y, x = _below(y, x, len(tree_b[level][0]))
+        fine = may_link(tree_a[min(level, len(tree_a) - 1)], x, tree_b[min(level, len(tree_b) - 1)], y, percent)
+        x, y = x[fine], y[fine]
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
+    for k in np.unique(x):
         a = oa[k * LEAF : (k + 1) * LEAF]
-        b = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+        b = (y[x == k][:, None] * LEAF + np.arange(LEAF)).ravel()
         b = ob[b[b < len(ob)]]
         for part in np.array_split(b, max(1, len(b) * points_a.shape[1] // (1 << 18))):
             common = np.minimum(points_a[a][:, None, :], points_b[part][None, :, :]).sum(axis=2)
             slack = common * (100 + percent) - percent * (sizes_a[a][:, None] + sizes_b[part][None, :])
             i, j = np.nonzero(slack >= 0)
             found.append((a[i], part[j], slack[i, j]))
-    if not found:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
 def _family_links(percent: int):

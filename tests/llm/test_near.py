@@ -60,6 +60,26 @@ def test_join_equals_every_pair(spark, k, percent, monkeypatch):
     assert got == brute_join(rows, k, percent)
 
 
+@pytest.mark.parametrize(("rows_a", "rows_b"), [(900, 300), (5, 700), (17, 16), (1, 1)])
+def test_trees_of_several_levels_find_every_pair(rows_a, rows_b):
+    """Families of unlike sizes, in no order; trees of unlike heights."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    bases = [rng.multinomial(m, rng.dirichlet(np.ones(16))) for m in (40, 60, 90, 200, 200, 210, 400) for _ in range(3)]
+    draw = lambda n: np.maximum(np.stack([bases[k] for k in rng.integers(0, len(bases), n)]) - rng.binomial(2, 0.3, (n, 16)), 0).astype(np.int32)
+    a, b = draw(rows_a), draw(rows_b)
+    n = lambda x: x.sum(axis=1).astype(np.int64)
+    common = np.minimum(a[:, None], b[None]).sum(axis=2)
+    for percent in (80, 90):
+        i, j, slack = ngram_join.tree_pairs(a, n(a), b, n(b), percent)
+        want = common * (100 + percent) - percent * (n(a)[:, None] + n(b)[None])
+        assert len(i) == int((want >= 0).sum()) == len(set(zip(i.tolist(), j.tolist(), strict=True)))
+        assert (want[i, j] == slack).all() and (slack >= 0).all()
+    order, levels = ngram_join.loaded(a, n(a), 90)
+    assert sorted(order.tolist()) == list(range(rows_a)) and len(levels[-1][0]) == 1
+
+
 @pytest.mark.parametrize("larger_first", [True, False])
 def test_trees_find_truncated_copies(larger_first):
     import numpy as np
