@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.store import cut, is_empty
@@ -16,23 +16,41 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def pagerank(ids: DataFrame, edges: DataFrame, iterations: int = 40, damping: float = 0.85) -> DataFrame:
     """(id, rank): a fixed number of rounds from 1/N; parallel edges weigh as often as they stand; the rank of
-    nodes without out-edges is spread over all. Edges are collapsed to weights once and kept by source, so a
-    round shuffles one row a distinct edge's target at most. Each round is written: its size is known, so ranks are
-    broadcast to the edges while they are small, and the plan stays one round long."""
-    n = ids.distinct().count()
-    if n == 0:
-        return ids.select("id", F.lit(0.0).alias("rank")).limit(0)
-    weights = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    total = weights.groupBy("src").agg(F.sum("w").alias("t"))
-    shares = cut(weights.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")), "rank-edges")
-    sources = cut(ids.distinct().join(total.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.coalesce("gives", F.lit(False)).alias("gives")), "rank-ids")
-    ranks = sources.select("id", "gives", F.lit(1.0 / n).alias("rank"))
-    for _ in range(iterations):
-        sink = ranks.where("not gives").agg(F.sum("rank")).first()[0] or 0.0
-        got = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    nodes without out-edges is spread over all. Only nodes that give matter to the next round: rounds go over edges
+    between those, what the others hold is known from the share that each giver sends out to them, and their ranks are
+    made once, in the last round. Without edges between givers a round is arithmetic. Edges are collapsed to weights
+    and shares in one shuffle by source."""
+    every = cut(ids.select("id").distinct(), "rank-ids")
+    n = every.count()
+    if n == 0 or iterations == 0:
+        return every.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    weights = edges.select("src", "dst").repartition("src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    shares = cut(weights.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("share")), "rank-edges")
+    givers = cut(shares.select(F.col("src").alias("id")).distinct().join(every, "id", "left_semi"), "rank-givers")
+    inner = cut(shares.join(givers.select(F.col("id").alias("dst")), "dst", "left_semi").join(givers.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "share"), "rank-inner")
+    # What a giver sends to nodes that keep it: to all that are known, less to those that give.
+    to = cut(shares.join(every.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("all")), "rank-out")
+    back = inner.groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("back"))
+    out = givers.join(to, "id", "left").join(back, "id", "left").select("id", (F.coalesce("all", F.lit(0.0)) - F.coalesce("back", F.lit(0.0))).alias("out"))
+    ranks = cut(out.select("id", "out", F.lit(1.0 / n).alias("rank")), "rank")
+    giving = ranks.count()
+    sink, alone = (n - giving) / n, is_empty(inner)
+    sent = ranks.agg(F.sum("out")).first()[0] or 0.0 if alone else None
+    rank = 1.0 / n
+    for _ in range(iterations - 1):
         level = (1 - damping + damping * sink) / n
-        ranks = cut(sources.join(got, sources["id"] == got["dst"], "left").select("id", "gives", (level + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
-    return ranks.select("id", "rank")
+        flow = rank * sent if alone else ranks.agg(F.sum(F.col("rank") * F.col("out"))).first()[0] or 0.0
+        sink = (n - giving) * level + damping * flow
+        if alone:
+            rank = level
+            continue
+        got = inner.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        ranks = cut(ranks.select("id", "out").join(got, "id", "left").select("id", "out", (level + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
+    if alone:
+        ranks = ranks.select("id", F.lit(rank).alias("rank"))
+    level = (1 - damping + damping * sink) / n
+    got = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    return every.join(got, "id", "left").select("id", (level + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
 
 
 def components(ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -264,3 +264,24 @@ def test_partitions_do_not_change_results(spark, small):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
     assert isinstance(small.nodes.schema, StructType)
+
+
+def test_pagerank_of_edges_that_lead_out_of_the_ids_equals_a_loop(spark):
+    ids = ["a", "b", "c", "d", "e"]
+    edges = [("a", "b"), ("a", "c"), ("b", "a"), ("b", "x"), ("c", "d"), ("c", "d"), ("c", "e"), ("y", "a"), ("d", "d")]
+    shares = {(s, t): edges.count((s, t)) / sum(1 for e in edges if e[0] == s) for s, t in edges}
+    rank = dict.fromkeys(ids, 0.2)
+    for _ in range(7):
+        sink = sum(r for i, r in rank.items() if not any(s == i for s, _ in edges))
+        rank = {i: (0.15 + 0.85 * sink) / 5 + 0.85 * sum(rank.get(s, 0) * w for (s, t), w in shares.items() if t == i) for i in ids}
+    got = analytics.pagerank(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "src string, dst string"), 7)
+    assert {r["id"]: round(r["rank"], 12) for r in got.collect()} == {i: round(r, 12) for i, r in rank.items()}
+
+
+def test_rounds_of_a_bipartite_pagerank_write_nothing(spark, monkeypatch):
+    written = []
+    real = analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df, label: written.append(label) or real(df, label))
+    edges = spark.createDataFrame([("s1", "p1"), ("s1", "p2"), ("s2", "p2")], "src string, dst string")
+    got = analytics.pagerank(edges.select(edges.src.alias("id")).union(edges.select("dst")), edges, 40)
+    assert got.count() == 4 and len(written) < 10
