@@ -39,7 +39,7 @@ def build(spark: SparkSession, root: str, layers: Layers = Layers()) -> Graph:
         g = architecture.detect_modules(g)
         g = architecture.detect_workflows(g, layers.workflow_depth)
         g = architecture.detect_capabilities(g)
-    return g
+    return Graph(cut(g.nodes, "graph-nodes"), cut(g.edges, "graph-edges"))  # layers are plans; sessions ask many times
 
 
 def load(spark: SparkSession, path: str, layers: Layers = Layers()) -> Graph:

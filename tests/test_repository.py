@@ -15,7 +15,7 @@ from loomgraph.plans.server import Server
 from loomgraph.plans.session import Navigation, Session, changed_files
 from loomgraph.sinks import exports
 from loomgraph.sources import classpath, git_log, graph_json, models
-from loomgraph.sources.java_source import first_sentence, parse
+from loomgraph.sources.java_source import _Parser, first_sentence, parse
 from loomgraph.streaming import refresh
 
 
@@ -306,3 +306,53 @@ def test_folded_centroids(spark):
     assert got["a", 0] == pytest.approx(half) and got["a", 1] == pytest.approx(half)
     n = (half**2 + (half + 1) ** 2) ** 0.5
     assert got["r", 0] == pytest.approx(half / n) and got["r", 1] == pytest.approx((half + 1) / n)
+
+
+def _source(*files):
+    return [(f"src/main/java/{p}", t) for p, t in files]
+
+
+def test_files_settle_references_that_they_declare_and_leave_others():
+    text = "package p; class A { int f; void g() { f = 1; h = 2; new A(); } void c() { try { } catch (E | q.E e) { } } }"
+    found = [e for e in parse(text, "A.java") if e["record"] == "edge"]
+    by = {k: [e for e in found if e["kind"] == k] for k in ("WRITES", "CREATES", "CATCHES", "DECLARES")}
+    assert [(e["refs"], e["settled"]) for e in by["WRITES"]] == [(["type:p.A.field:f"], True), (["?field:type:p.A.field:h"], False)]
+    assert [e["refs"][-1] for e in by["CREATES"]] == ["type:p.A"]  # p.A.A may stand elsewhere, what follows p.A is not asked for
+    assert [e["settled"] for e in by["CATCHES"]] == [False, False]  # both at one place: they may turn out to be the same
+    assert all(e["settled"] for e in by["DECLARES"])
+
+
+def test_wanted_kinds_are_what_all_kinds_give(spark):
+    from java_fixture import FILES
+
+    from loomgraph.operators import resolve
+    from loomgraph.sources.java_source import NAMED, emissions
+
+    files = spark.createDataFrame(list(FILES.items()), "path string, text string")
+    whole = resolve.assemble(emissions(files))
+    key = lambda rows: sorted((r["src"], r["dst"], r["kind"], r["resolver"], r["line"], r["col"]) for r in rows.collect())
+    for kinds in (("THROWS", "CREATES"), ("READS", "WRITES"), ("DECLARES", "IMPORTS"), ("DEPENDS_ON", "EXTENDS", "IMPLEMENTS")):
+        named = bool(set(kinds) & set(NAMED))
+        e = emissions(files, (), ("FIELD", *resolve.TYPE_KINDS) if named else (), kinds)
+        assert {r["record"] for r in e.select("record").distinct().collect()} <= {"edge", "id"}
+        assert key(resolve.link(e, named)) == key(whole.edges.where(whole.edges.kind.isin(*kinds)))
+    types = resolve.declarations(emissions(files, resolve.TYPE_KINDS, (), ())).select("id", "kind")
+    own = whole.nodes.where(whole.nodes.kind.isin(*resolve.TYPE_KINDS)).select("id", "kind")
+    assert sorted(map(tuple, types.collect())) == sorted(map(tuple, own.collect()))
+
+
+def test_a_name_that_another_file_declares_is_found(spark):
+    from loomgraph.operators import resolve
+    from loomgraph.sources.java_source import emissions
+
+    files = spark.createDataFrame(_source(("p/A.java", "package p; class A { void f() { new B(); new C(); } }"), ("p/B.java", "package p; class B { }"), ("x/A.java", "package p; class A { class B { } }")), "path string, text string")
+    e = resolve.link(emissions(files, (), resolve.TYPE_KINDS, ("CREATES",)))
+    assert sorted((r["dst"], r["resolver"]) for r in e.collect()) == [("external:type:C", "SYNTAX_UNRESOLVED"), ("type:p.A.B", "SYNTAX")]
+
+
+def test_long_white_space_and_open_comments_are_read_once():
+    import time
+
+    began = time.time()
+    assert [t[1] for t in _Parser(" " * 400000 + "class A { } #" + " " * 400000 + "/* open", "f").tokens] == ["class", "A", "{", "}", "/", "*", "open"]
+    assert time.time() - began < 20
