@@ -8,35 +8,42 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.model import EDGE_COLUMNS, EFFECTS, FORWARD, NODE_COLUMNS, Graph, owner, repository_types
 from loomgraph.operators.traverse import reach
-from loomgraph.store import cut
+from loomgraph.store import cut, is_empty
 
 WORKFLOW_DEPTH = 8
 
 
-def declaring_files(g: Graph) -> DataFrame:
-    """(type, file): the file that holds each type, up through enclosing types (16 at most)."""
+def declaring_files(g: Graph, types: DataFrame | None = None) -> DataFrame:
+    """(type, file): the file that holds each type (types: those of the graph, written), up through enclosing types (16 at
+    most). Nearly all types stand in a file directly, and only the others are traversed from."""
     up = g.edges.where("kind = 'DECLARES'").select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    types = repository_types(g).select("id")
-    found = reach(types.select(F.col("id").alias("seed"), "id"), up, 17)
+    types = (types if types is not None else repository_types(g)).select(F.col("id").alias("type"))
+    direct = cut(up.where("to like 'file:%'").groupBy(F.col("at").alias("type")).agg(F.min("to").alias("file")).join(types, "type", "left_semi"), "held")
+    inner = cut(types.join(direct, "type", "left_anti"), "inner")
+    if is_empty(inner):
+        return direct
+    found = reach(inner.select(F.col("type").alias("seed"), F.col("type").alias("id")), up, 17)
     w = Window.partitionBy("seed").orderBy("depth", "id")
-    return found.where("id like 'file:%'").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("seed").alias("type"), F.col("id").alias("file"))
+    far = found.where("id like 'file:%'").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("seed").alias("type"), F.col("id").alias("file"))
+    return direct.unionByName(far)
 
 
-def packages(g: Graph) -> DataFrame:
-    """(type, package): what the declaring file declares, else the lower-case beginning of the name."""
+def packages(g: Graph, types: DataFrame | None = None) -> DataFrame:
+    """(type, package): what the declaring file declares, else the lower-case beginning of the name. types: those of the
+    graph, written."""
+    types = types if types is not None else cut(repository_types(g).select("id", "name"), "types")
     of_file = g.edges.where("kind = 'DECLARES' and src like 'file:%' and dst like 'package:%'").groupBy(F.col("src").alias("file")).agg(F.max(F.substring_index("dst", ":", -1)).alias("package"))
-    types = repository_types(g).select(F.col("id").alias("type"), "name")
-    known = declaring_files(g).join(of_file, "file").select("type", "package")
-    return types.join(known, "type", "left").select("type", F.coalesce("package", X.package_from_name(F.col("name"))).alias("package"))
+    known = declaring_files(g, types).join(of_file, "file").select("type", "package")
+    return types.select(F.col("id").alias("type"), "name").join(known, "type", "left").select("type", F.coalesce("package", X.package_from_name(F.col("name"))).alias("package"))
 
 
 def modules(g: Graph) -> DataFrame:
     """(type, module): the source root if there are several, else the package."""
     file = F.col("file")
     root = F.when(F.instr(file, "/src/") > 1, F.substring_index(file, "/src/", 1)).otherwise(F.lit("<root>"))
-    roots = repository_types(g).select(F.col("id").alias("type"), root.alias("root"))
-    many = roots.agg(F.countDistinct("root")).first()[0] > 1
-    return roots.select("type", F.col("root").alias("module")) if many else packages(g).select("type", F.col("package").alias("module"))
+    types = cut(repository_types(g).select("id", "name", root.alias("root")), "types")
+    many = types.agg(F.countDistinct("root")).first()[0] > 1
+    return types.select(F.col("id").alias("type"), F.col("root").alias("module")) if many else packages(g, types).select("type", F.col("package").alias("module"))
 
 
 def coupling(edges: DataFrame, module_of: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import java_fixture
 import pytest
 
-from loomgraph.operators import resolve
+from loomgraph.model import repository_types
+from loomgraph.operators import architecture, resolve, traverse
 from loomgraph.sources import java_source
 from loomgraph.store import cut
 
@@ -72,3 +73,20 @@ def test_a_kind_is_read_without_the_others(spark):
     settled = [f for f in e.where("record = 'edge' and kind = 'CALLS'").inputFiles()]
     assert settled and e.columns == [c.split()[0] for c in java_source.EMISSION.split(", ")]
     assert "PartitionFilters: [isnotnull(record" in calls._sc._jvm.PythonSQLUtils.explainString(calls._jdf.queryExecution(), "simple") and calls.count() > 0
+
+
+def test_types_that_files_hold_are_not_traversed_from(spark, monkeypatch):
+    files = spark.createDataFrame(list(java_fixture.FILES.items()) + [("d/Out.java", "package d;\nclass Out { class In { class Deep { } } }\n")], "path string, text string")
+    g = resolve.assemble(java_source.emissions(files))
+    seeds = []
+
+    def reach(start, *args, **more):
+        seeds.extend(r["seed"] for r in start.collect())
+        return traverse.reach(start, *args, **more)
+
+    monkeypatch.setattr(architecture, "reach", reach)
+    held = {r["type"]: r["file"] for r in architecture.declaring_files(g).collect()}
+    assert {held["type:d.Out"], held["type:d.Out.In"], held["type:d.Out.In.Deep"]} == {"file:d/Out.java"}
+    assert set(held) == {r["id"] for r in repository_types(g).collect()}
+    assert "type:d.Out" not in seeds and {"type:d.Out.In", "type:d.Out.In.Deep"} <= set(seeds)
+    assert {r["type"]: r["package"] for r in architecture.packages(g).collect()}["type:d.Out.In.Deep"] == "d"
