@@ -75,6 +75,29 @@ def test_a_kind_is_read_without_the_others(spark):
     assert "PartitionFilters: [isnotnull(record" in calls._sc._jvm.PythonSQLUtils.explainString(calls._jdf.queryExecution(), "simple") and calls.count() > 0
 
 
+CREATIONS = {
+    "plain": "package p; class A { B b() { return new B<C>(1, x(2)) ; } int[] n() { return new int[] {1}; } }",
+    "anonymous": "package p; class A { Runnable r() { f(new B(1)); return new Runnable() { public void run() { } }; } }",
+    "inner": "package p; class A { void r() { f(new B(new C(2) { int x; })); } }",
+}
+
+
+@pytest.mark.parametrize("kinds", [("TYPE",), ("TYPE", "METHOD"), ("METHOD", "FIELD")])
+def test_only_creations_with_a_body_are_entered(kinds, monkeypatch):
+    names = lambda t, edges: [e["id"] for e in java_source.parse(t, "A.java", frozenset(kinds), (), edges) if e["record"] == "node"]
+    for text in CREATIONS.values():
+        assert names(text, frozenset()) == names(text, frozenset({"CALLS"}))  # with calls every body is read
+
+    def no(*_):
+        raise AssertionError("entered")
+
+    monkeypatch.setattr(java_source._Parser, "statements", no)
+    names(CREATIONS["plain"], frozenset())
+    for text in ("anonymous", "inner"):
+        with pytest.raises(AssertionError):
+            names(CREATIONS[text], frozenset())
+
+
 def test_types_that_files_hold_are_not_traversed_from(spark, monkeypatch):
     files = spark.createDataFrame(list(java_fixture.FILES.items()) + [("d/Out.java", "package d;\nclass Out { class In { class Deep { } } }\n")], "path string, text string")
     g = resolve.assemble(java_source.emissions(files))
